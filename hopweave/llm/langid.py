@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopweave.llm.common import chunks, mix
 
@@ -135,7 +136,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

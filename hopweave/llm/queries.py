@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm import chat, langid, sharding, tokenfile, topk
+from hopweave.llm import chat, langid, pieces, sharding, tokenfile, topk
 from hopweave.llm.common import table
 
 #: Where the public tokenizers lie; a parameter of the queries.
@@ -35,6 +35,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, 4), PIECES)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, "doc_id", N_SHARDS, N_SLOTS)
@@ -100,6 +104,7 @@ FROM x GROUP BY conv_id
 
 QUERIES = {
     "op1_topk_search": op1_topk_search,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op7_token_ids": op7_token_ids,
