@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm import chat, langid, pieces, sharding, tokenfile, topk
+from hopweave.llm import chat, decontaminate, langid, pieces, sharding, tokenfile, topk, toxicity
 from hopweave.llm.common import table
 
 #: Where the public tokenizers lie; a parameter of the queries.
@@ -69,10 +69,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE, 50257, 2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.chain_of(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS t(conv_id, turn, role, text)", args={"t": said})
@@ -107,7 +118,9 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_token_ids": op7_token_ids,
+    "op8_toxicity": op8_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
 }
 SQL = {"op1_topk_search": OP1, "op3_sharding": OP3, "op10_chat_formatting": OP10}
