@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -35,40 +36,68 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    # shuffle files of the finished job go once the JVM sees that nothing refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that no later step reads."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """A written table of the distinct texts: (uid, key, text, copies). Null counts
+    as the empty text; ``key`` is ``text_key``; ``uid`` is stable once written.
+    However many copies a text has, each map task sends one."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    one = texts.groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return written(one.select(F.monotonically_increasing_id().alias("uid"), "key", "text", "copies"), "texts")
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list: (node, component), the
-    component being the smallest node id.
+    """Connected components of an undirected edge list: (node, component) for
+    every node but the components' smallest, which is the component.
 
-    Alternating large-star / small-star rounds: each is two joins-free
-    aggregations over the edge list, so a node of any degree is combined
-    map-side and no adjacency list is collected; O(log n) rounds.
+    Alternating large-star and small-star rounds. Minima are combined map-side
+    and no adjacency list is collected, so a node may have any degree.
     """
-    e = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    star = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    star = written(star, "edges")
+    mark = _signature(star)
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if not mark[0]:
+            break
+        both = star.union(star.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        # large star: larger neighbours move to the smallest neighbour
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours and the node itself move to the smallest
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        old = e
-        e = nxt
-        sig = lambda d: d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if sig(old) == sig(e):
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old, star = star, written(small.distinct(), "edges")
+        forget(old)
+        old_mark, mark = mark, _signature(star)
+        if mark == old_mark:
             break
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _signature(edges: DataFrame) -> tuple[int, int]:
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
 
 # ---------------------------------------------------------------- byte kernels
@@ -105,11 +134,19 @@ def powers(n: int, base: np.uint64 = P1, name: str = "p") -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """S with S[i] = sum of codes[j] * P^j for j < i, modulo 2^64."""
+BYTE_MIX = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def prefix_hash(codes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """S with S[i] = sum of g(codes[j]) * P^j for j < i, modulo 2^64. Seeds give independent hashes."""
     out = np.zeros(len(codes) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes)), out=out[1:])
+        if codes.dtype == np.uint8:
+            g = (mix(BYTE_MIX + np.uint64(seed)) if seed else BYTE_MIX)[codes]
+        else:
+            g = mix(codes.astype(np.uint64) + np.uint64(1 + seed))
+        g *= powers(len(codes))
+        np.cumsum(g, out=out[1:])
     return out
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm import chat, decontaminate, langid, pieces, sharding, tokenfile, topk, toxicity
+from hopweave.llm import chat, decontaminate, langid, pieces, sharding, suffix, tokenfile, topk, toxicity
 from hopweave.llm.common import table
 
 #: Where the public tokenizers lie; a parameter of the queries.
@@ -69,6 +69,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_token_ids": op7_token_ids,
     "op8_toxicity": op8_toxicity,
