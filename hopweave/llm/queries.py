@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.llm import chat, decontaminate, langid, pieces, sharding, suffix, tokenfile, topk, toxicity
+from hopweave.llm import chat, decontaminate, jaccard, langid, pieces, sharding, suffix, tokenfile, topk, toxicity
 from hopweave.llm.common import table
 
 #: Where the public tokenizers lie; a parameter of the queries.
@@ -88,6 +88,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), 4, 85)
+
+
+OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+t AS (SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS r
+  FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS f FROM s GROUP BY 1) USING (g)),
+p AS (SELECT doc_id, g, n FROM t WHERE r <= n - (85 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id),
+e AS (SELECT x, y FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y, nx, ny
+  HAVING 100 * count(*) >= 85 * (nx + ny - count(*))),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reach r JOIN l ON l.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) m USING (doc_id)
+"""
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS t(conv_id, turn, role, text)", args={"t": said})
@@ -126,6 +150,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_token_ids": op7_token_ids,
     "op8_toxicity": op8_toxicity,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
 }
-SQL = {"op1_topk_search": OP1, "op3_sharding": OP3, "op10_chat_formatting": OP10}
+SQL = {"op1_topk_search": OP1, "op3_sharding": OP3, "op9_ngram_jaccard": OP9, "op10_chat_formatting": OP10}
