@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import LOWER, components, chunks, distinct_texts, joined, mix, prefix_hash, span_hash, text_key, word_spans, written
+from hopweave.llm.common import LOWER, chunks, components, distinct_texts, forget, joined, mix, prefix_hash, span_hash, text_key, word_spans, written
 
 #: Parts of the hash range: the top byte of a shingle, so that seven bytes remain.
 PARTS = 256
@@ -328,11 +328,13 @@ def links(own: DataFrame, percent: int, block: int | None = None) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per distinct text: (key, n_shingles, class long); ``class`` is null for texts
+    """A written table, per distinct text: (key, n_shingles, class long); ``class`` is null for texts
     without a word, which link with nothing, not even with their copies."""
     texts = distinct_texts(docs)
     own = sets(texts.select("uid", "text"), width, percent)
-    comp = components(links(own, percent))
+    found = links(own, percent)
+    forget(own)
+    comp = components(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +343,9 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     sized = texts.select("uid", "key", F.col("text").cast("binary").alias("text")).mapInArrow(count, "uid long, key binary, n_shingles long")
     named = sized.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
-    return named.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "uid")).alias("class"))
+    out = written(named.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "uid")).alias("class")), "classes")
+    forget(texts)
+    return out
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -351,17 +355,28 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Null and blank texts have no set and link with nothing. Rows of equal text are
     linked. A null doc_id never is a component's name unless all of it are null.
     """
-    of = written(classes(docs, width, percent), "classes")
+    of = classes(docs, width, percent)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(of, "key")
     low = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
     return rows.join(low, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each class: the smallest (doc_id, nulls last, then
-    by all columns). Rows without a word all stay."""
-    of = written(classes(docs, width, percent), "classes").select(F.col("key").alias("_key"), F.col("class").alias("_class"))
-    rows = docs.join(of, text_key(F.col("text")) == F.col("_key"))
-    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    first = rows.where("_class is not null").groupBy("_class").agg(F.min(F.struct(docs["doc_id"].isNull().alias("null"), docs["doc_id"].alias("id"), whole.alias("row"))).alias("m"))
-    return first.select("m.row.*").unionByName(rows.where("_class is null").select(*[docs[f"`{c}`"] for c in docs.columns]))
+    """``docs`` with one row of each class: that of the smallest doc_id (nulls
+    last; of equal ids the one that comes first by hashes of text and row, one of
+    rows that are the same throughout). Rows without a word all stay.
+
+    The choice is made on ids and hashes; each text is shuffled once.
+    """
+    of = classes(docs, width, percent)
+    marked = docs.withColumn("_key", text_key(F.col("text"))).withColumn("_row", F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]))
+    narrow = marked.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_key", "_row").join(of.select(F.col("key").alias("_key"), "class", "n_shingles"), "_key")
+    times = narrow.where(F.col("class").isNotNull()).groupBy("class", "none", "id", "_key", "_row").agg(F.count("*").alias("times"))
+    first = times.groupBy("class").agg(F.min(F.struct("none", "id", "_key", "_row", "times")).alias("m")).select("m._key", "m._row", "m.times")
+    blank = narrow.where(F.col("class").isNull()).select("_key", "_row", F.lit(1).cast("long").alias("times")).distinct()
+    stay = written(first.unionByName(blank), "stay")
+    kept = marked.join(stay.select("_key", "_row"), ["_key", "_row"], "left_semi")
+    if not stay.where("times > 1").isEmpty():
+        blanks = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+        kept = kept.where(~blanks).dropDuplicates(["_key", "_row"]).unionByName(kept.where(blanks))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
