@@ -10,9 +10,11 @@ Texts and items are compared in lower case with white space collapsed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,15 +117,15 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
-_MATCHERS: dict[tuple[int, float], Matcher] = {}
+#: The automaton of a worker, by the name of the block it was made from.
+_MATCHER: dict[str, Matcher] = {}
 
 
-def _matcher(shared, rate: float) -> Matcher:
-    key = (shared.id if hasattr(shared, "id") else id(shared), rate)
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(shared.value, rate)
-    return _MATCHERS[key]
+def _matcher(name: str, shared: Broadcast, rate: float) -> Matcher:
+    if name not in _MATCHER:
+        _MATCHER.clear()
+        _MATCHER[name] = Matcher(shared.value, rate)
+    return _MATCHER[name]
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
@@ -137,10 +139,10 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     schema = "doc_id long, item_id long, edits int, end long"
     out = spark.createDataFrame([], schema)
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            m = _matcher(name, shared, rate)
             for batch in batches:
                 rows = [(d, m.items[j][0], e, end) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for j, e, end in m.match(normal(t.as_py()))]
                 if rows:
@@ -154,10 +156,10 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the rows in which an item occurs; columns and all other rows stay."""
     at = docs.columns.index("text")
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = _matcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            m = _matcher(name, shared, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not m.match(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
