@@ -23,8 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier chain rejects go. Null and empty texts stay."""
     model = toxicity.chain_of(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
-    toxic = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S") & (F.col("p_toxic") >= toxicity.REJECT)
-    return scored.where(~toxic).select(*docs.columns)
+    return scored.where(~toxicity.rejected(F.col("text"), F.col("p_toxic"))).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.chain_of(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", toxicity.rejected(F.col("text"), F.col("p_toxic")).alias("toxic"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

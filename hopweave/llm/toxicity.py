@@ -192,3 +192,8 @@ def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> Data
 
 def chain_of(docs: DataFrame, labels: DataFrame) -> Chain:
     return fit(docs, labels, [F.col("quality") == 0, F.col("toxic") == 1])
+
+
+def rejected(text: Column, p_toxic: Column) -> Column:
+    """Whether a document counts as toxic; one without any word never does."""
+    return F.coalesce(text, F.lit("")).rlike(r"\S") & (p_toxic >= REJECT)
