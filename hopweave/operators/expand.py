@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopweave.storage import stored
+from hopweave.storage import counted, stored
 
 #: Starts from which "auto" takes the bit-packed form, for at least so many steps.
 BITS_FROM, BITS_STEPS = 1024, 2
@@ -43,8 +43,8 @@ def layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int, pa
         if path == "shortest":
             for seen in out:
                 nxt = nxt.join(seen, ["s", "v"], "left_anti")
-        nxt = stored(nxt, "layer")
-        if nxt.isEmpty():
+        nxt, n = counted(nxt, "layer")
+        if not n:
             break
         out.append(nxt)
     return out
@@ -62,8 +62,8 @@ def bit_layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int
         if path == "shortest":
             old = seen.withColumnRenamed("bits", "old")
             nxt = nxt.join(old, ["v", "w"], "left").select("v", "w", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
-        nxt = stored(nxt, "layer")
-        if nxt.isEmpty():
+        nxt, n = counted(nxt, "layer")
+        if not n:
             break
         out.append(nxt)
         if path == "shortest":
@@ -146,22 +146,26 @@ def find_shortest(pairs: DataFrame, start: str, target: str, step: DataFrame, ma
     rows = pairs.select(F.col(start).alias("s"), F.col(target).alias("t"))
     asked = stored(rows.where("s is not null and t is not null").distinct(), "asked")
     found = [asked.where("s = t").select("s", "t", F.lit(0).alias("d"))]
-    open_ = asked.where("s <> t")
-    seen = [stored(open_.select("s", F.col("s").alias("v")).distinct(), "layer")]
+    open_, left = counted(asked.where("s <> t"), "open")
+    seen = [open_.select("s", F.col("s").alias("v")).distinct()]
+    front = seen[0]
     for k in range(1, max_hops + 1):
-        if open_.isEmpty():
+        if not left:
             break
-        # starts with nothing left to find go no further
-        front = seen[-1].join(open_.select("s").distinct(), "s", "left_semi")
         nxt = front.join(step, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v")).distinct()
         for old in seen:
             nxt = nxt.join(old, ["s", "v"], "left_anti")
-        nxt = stored(nxt, "layer")
-        if nxt.isEmpty():
+        nxt, n = counted(nxt, "layer")
+        if not n:
             break
         seen.append(nxt)
-        hit = stored(open_.join(nxt, (open_["s"] == nxt["s"]) & (open_["t"] == nxt["v"]), "left_semi"), "hit")
-        found.append(hit.select("s", "t", F.lit(k).alias("d")))
-        open_ = open_.join(hit, ["s", "t"], "left_anti")
+        hit = open_.join(nxt, (open_["s"] == nxt["s"]) & (open_["t"] == nxt["v"]), "left_semi")
+        hit, n = counted(hit, "hit")
+        front = nxt
+        if n:
+            found.append(hit.select("s", "t", F.lit(k).alias("d")))
+            open_, left = counted(open_.join(hit, ["s", "t"], "left_anti"), "open")
+            # starts with nothing left to find go no further
+            front = nxt.join(open_.select("s").distinct(), "s", "left_semi")
     known = reduce(DataFrame.union, found)
     return rows.join(known, ["s", "t"], "left").select(F.col("s").alias(start), F.col("t").alias(target), F.coalesce("d", F.lit(-1)).alias("distance"))

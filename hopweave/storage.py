@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -24,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write and read again: cuts the lineage of a loop and survives lost executors."""
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """``stored``, and the number of rows as the same job saw it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
