@@ -83,15 +83,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
     return w
 
 
-def select(rows: np.ndarray, feats: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose share among positives departs most from that among negatives."""
-    names, at = np.unique(feats, return_inverse=True)
+def select(names: np.ndarray, at: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The features whose share among positives departs most from that among
+    negatives. ``at``: places in ``names`` (sorted), each with the row that has it."""
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
     pos = np.bincount(at, y[rows], len(names))
     neg = np.bincount(at, minlength=len(names)) - pos
     share = (pos + neg) / (n1 + n0)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z[pos + neg < LEAST_DOCS] = 0
     best = np.lexsort((names, -z))[:FEATURES]
     return np.sort(names[best[z[best] >= LEAST_Z]])
 
@@ -102,7 +101,12 @@ class Chain:
     def __init__(self, rows: np.ndarray, feats: np.ndarray, labels: np.ndarray):
         n = len(labels)
         fold = np.arange(n) % FOLDS
-        chosen = [select(rows, feats, labels[:, c]) if n else feats[:0] for c in range(labels.shape[1])]
+        names, count = np.unique(feats, return_counts=True)
+        names = names[count >= LEAST_DOCS]
+        at = np.minimum(np.searchsorted(names, feats), max(len(names) - 1, 0))
+        frequent = names[at] == feats if len(names) else np.zeros(len(feats), bool)
+        rows, feats, at = rows[frequent], feats[frequent], at[frequent]
+        chosen = [select(names, at, rows, labels[:, c]) for c in range(labels.shape[1])]
         self.known = np.unique(np.concatenate(chosen)) if chosen else feats[:0]
         x = np.zeros((n, len(self.known)))
         hit = np.isin(feats, self.known)
@@ -169,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[Column], train_rows: i
     got = rows.mapInArrow(seen, "f binary, y array<int>, k long").toPandas().sort_values(["k", "f"], ignore_index=True)
     sizes = np.array([len(f) // 8 for f in got["f"]], int)
     y = np.array([list(v) for v in got["y"]], float).reshape(len(got), len(targets))
-    return Chain(np.repeat(np.arange(len(got)), sizes), np.frombuffer(b"".join(got["f"]), "<u8"), y)
+    feats = np.frombuffer(b"".join(got["f"]), "<u8")
+    del got
+    return Chain(np.repeat(np.arange(len(y), dtype=np.int32), sizes), feats, y)
 
 
 def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> DataFrame:
