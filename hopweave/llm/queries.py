@@ -73,6 +73,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT row, b, substr(h, 2 * b + 1, 2 * (256 + 199)) AS h FROM (SELECT row, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 256)) AS b FROM d)),
+w AS (SELECT row, b + i AS i, hash(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT row, b, h, unnest(range(least(len(h) // 2 - 199, 256))) AS i FROM b)),
+r AS (SELECT row, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+g AS (SELECT row, i, i - lag(i) OVER (PARTITION BY row ORDER BY i) AS gap FROM r),
+n AS (SELECT row, i, gap, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY row ORDER BY i) AS span FROM g),
+s AS (SELECT row, span, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY 1, 2),
+k AS (SELECT row, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last FROM s GROUP BY 1),
+p AS (SELECT row, lo, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS since FROM s),
+c AS (SELECT row, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS kept FROM p JOIN d USING (row) GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (row) LEFT JOIN c USING (row)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -153,4 +170,4 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_chat_formatting": op10_chat_formatting,
 }
-SQL = {"op1_topk_search": OP1, "op3_sharding": OP3, "op9_ngram_jaccard": OP9, "op10_chat_formatting": OP10}
+SQL = {"op1_topk_search": OP1, "op3_sharding": OP3, "op5_suffix_dedup": OP5, "op9_ngram_jaccard": OP9, "op10_chat_formatting": OP10}
