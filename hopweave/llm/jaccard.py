@@ -220,16 +220,21 @@ def _sets(percent: int):
     return run
 
 
-def sets(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(uid, n, l, prefix, tokens) of the texts that may have a partner; tokens
-    are the shingles of frequency two and more."""
+def frequencies(texts: DataFrame, width: int) -> DataFrame:
+    """A written table of what each batch of texts gets back from the parts of the hash range."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = texts.select("uid", F.col("text").cast("binary").alias("text")).mapInArrow(_packets(width), "part int, base long, data binary")
     sent = sent.repartition(min(n, PARTS), "part").sortWithinPartitions("part")
     back = sent.mapInArrow(_frequencies, "base long, data binary")
-    back = back.select(F.when(F.col("base") < 0, -1 - F.col("base")).otherwise(F.col("base")).alias("base"), (F.col("base") < 0).alias("sizes"), "data")
-    back = back.repartition(n, "base").sortWithinPartitions("base", F.desc("sizes"))
-    return written(back.mapInArrow(_sets(percent), "uid long, n long, l int, prefix array<bigint>, tokens binary"), "sets")
+    return written(back.select(F.when(F.col("base") < 0, -1 - F.col("base")).otherwise(F.col("base")).alias("base"), (F.col("base") < 0).alias("sizes"), "data"), "frequencies")
+
+
+def sets(back: DataFrame, percent: int) -> DataFrame:
+    """A written table (uid, n, l, prefix, tokens) of the texts that may have a
+    partner; tokens are the shingles of frequency two and more."""
+    n = int(back.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = back.repartition(n, "base").sortWithinPartitions("base", F.desc("sizes"))
+    return written(rows.mapInArrow(_sets(percent), "uid long, n long, l int, prefix array<bigint>, tokens binary"), "sets")
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -331,21 +336,22 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """A written table, per distinct text: (key, n_shingles, class long); ``class`` is null for texts
     without a word, which link with nothing, not even with their copies."""
     texts = distinct_texts(docs)
-    own = sets(texts.select("uid", "text"), width, percent)
-    found = links(own, percent)
-    forget(own)
-    comp = components(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.array([len(s) for _, s in shingles(_raw(batch.column(2)), width)], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["uid", "key", "n_shingles"])
 
-    sized = texts.select("uid", "key", F.col("text").cast("binary").alias("text")).mapInArrow(count, "uid long, key binary, n_shingles long")
-    named = sized.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
-    out = written(named.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "uid")).alias("class")), "classes")
+    # each large table goes as soon as the next one stands
+    back = frequencies(texts, width)
+    sized = written(texts.select("uid", "key", F.col("text").cast("binary").alias("text")).mapInArrow(count, "uid long, key binary, n_shingles long"), "sizes")
     forget(texts)
-    return out
+    own = sets(back, percent)
+    forget(back)
+    found = links(own, percent)
+    forget(own)
+    named = sized.join(components(found).withColumnRenamed("node", "uid"), "uid", "left")
+    return written(named.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "uid")).alias("class")), "classes")
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -357,7 +363,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     of = classes(docs, width, percent)
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key")).join(of, "key")
-    low = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
+    # written, so that rows of a large class may be split over tasks in the join
+    low = written(rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low")), "lowest")
     return rows.join(low, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
