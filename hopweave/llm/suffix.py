@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import distinct_texts, forget, prefix_hash, span_hash, text_key, written
+from hopweave.llm.common import distinct_texts, forget, prefix_hash, span_hash, text_key, union_all, written
 
 LENGTH, GRAM = 200, 50
 LEFT = LENGTH - GRAM
@@ -224,8 +224,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for t, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             raw = t.as_buffer().to_pybytes()
-            rows = [(p["h"], p["c1"], p["c2"], p["n"], min(LEFT, p["at"]), raw[max(0, p["at"] - LEFT) : p["at"] + LENGTH]) for p in places]
-            yield pa.RecordBatch.from_pylist([dict(zip(("h", "c1", "c2", "n", "left", "bytes"), r, strict=True)) for r in rows], pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("left", pa.int32()), ("bytes", pa.binary())]))
+            rows = [(p["h"], p["c1"], p["c2"], p["n"], p["size"], min(LEFT, p["at"]), raw[max(0, p["at"] - LEFT) : p["at"] + LENGTH]) for p in places]
+            yield pa.RecordBatch.from_pylist([dict(zip(("h", "c1", "c2", "n", "size", "left", "bytes"), r, strict=True)) for r in rows], pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("left", pa.int32()), ("bytes", pa.binary())]))
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def _narrowed(big: DataFrame) -> DataFrame:
     ``inner`` has a live row.
     """
     nodes = big.select("h", "c1", "c2", "n", "left", "bytes", (F.col("n") == 1).alias("live"), F.greatest(F.lit(0), LENGTH - F.length("bytes") + F.col("left")).alias("first"), F.least(F.lit(LEFT), F.col("left")).alias("last"), F.lit(0).alias("b"))
-    cols, done = nodes.columns, []
+    cols, done, last = nodes.columns, [], None
     for j in range(LEFT.bit_length(), -1, -1):
         size = 1 << j
         o1, o2 = F.col("b") * size, F.col("b") * size + (size - 1)
@@ -279,47 +279,58 @@ def _narrowed(big: DataFrame) -> DataFrame:
         inner = F.col("h").cast("string") if size > LENGTH - GRAM else part(o1, LENGTH - size + 1)
         whole = F.when((o2 <= F.col("last")) & (o1 >= F.col("first")), part(o2, LENGTH + size - 1)).otherwise(F.concat_ws("|", "h", "c1", "c2", "b"))
         nodes = written(nodes.where((o1 <= F.col("last")) & (o2 >= F.col("first"))).withColumn("inner", inner).withColumn("whole", whole), "nodes")
+        if last is not None:
+            forget(last)
         kept = nodes.groupBy("inner").agg(F.sum("n").alias("m"), F.max("live").alias("some")).where("m > 1 and some").select("inner")
         spans = nodes.groupBy("whole").agg(F.sum("n").alias("all"))
         alive = written(nodes.join(kept, "inner", "left_semi").join(spans, "whole"), "alive")
+        forget(nodes)
+        last = alive
         inside = (o2 <= F.col("last")) & (o1 >= F.col("first"))
         settles = ~F.col("live") | (inside & (F.col("all") > 1))
-        done.append(alive.where(F.col("live") & settles).select("h", "c1", "c2", (-o2).cast("long").alias("lo"), (LENGTH - o1).cast("long").alias("hi")))
+        done.append(written(alive.where(F.col("live") & settles).select("h", "c1", "c2", (-o2).cast("long").alias("lo"), (LENGTH - o1).cast("long").alias("hi")), "hits"))
         rest = alive.where(~settles)
         if not j or rest.isEmpty():
             break
         one = alive.where(settles).groupBy("whole").agg(F.max("all").alias("n"), *[F.first(c).alias(c) for c in cols if c not in ("n", "live")]).withColumn("live", F.lit(False))
         nodes = rest.select(*cols).unionByName(one.select(*cols)).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("b", F.col("b") * 2 + F.col("half")).drop("half")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    forget(last)
+    return union_all(done)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(uid, lo, hi): byte spans of distinct texts that repeated windows cover; spans may overlap."""
+    """A written table (uid, spans): the byte spans (lo, hi) of distinct texts that
+    repeated windows cover; they may overlap. Tables that no later step reads are deleted on the way."""
     found = written(texts.where(F.length(F.col("text").cast("binary")) >= LENGTH).select("uid", F.col("text").cast("binary").alias("text")).mapInArrow(_anchor_rows, "uid long, at long, h long, c1 long, c2 long"), "anchors")
-    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # written, so that a string on a large share of all rows can be split over tasks in the join
+    often = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
     rows = written(found.join(often, "h"), "repeated")
     forget(found)
-    whole = rows.select("uid", F.greatest(F.lit(0), F.col("at") - LEFT).alias("lo"), (F.col("at") + LENGTH).alias("hi"), "h", "c1", "c2", "mixed", "at")
+    forget(often)
     kinds = written(rows.where("mixed").groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("place")), "kinds")
     sizes = kinds.groupBy("h").agg(F.count("*").alias("size"))
-    places = kinds.select(F.col("place.uid").alias("uid"), F.struct(F.col("place.at").alias("at"), "h", "c1", "c2", "n").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("ps"))
-    near = texts.select("uid", F.col("text").cast("binary").alias("text")).join(places, "uid").select("text", "ps").mapInArrow(_surroundings, "h long, c1 long, c2 long, n long, left int, bytes binary")
-    near = written(near.join(sizes, "h"), "surroundings")
+    places = kinds.join(sizes, "h").where("size > 1").select(F.col("place.uid").alias("uid"), F.struct(F.col("place.at").alias("at"), "h", "c1", "c2", "n", "size").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("ps"))
+    near = texts.select("uid", F.col("text").cast("binary").alias("text")).join(places, "uid").select("text", "ps").mapInArrow(_surroundings, "h long, c1 long, c2 long, n long, size long, left int, bytes binary")
+    near = written(near, "surroundings")
     small = near.where(F.col("size") <= GROUP).drop("size")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "h long, c1 long, c2 long, lo long, hi long")
+    parts = [small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "h long, c1 long, c2 long, lo long, hi long")]
     big = near.where(F.col("size") > GROUP).drop("size")
     if not big.isEmpty():
-        spans = spans.unionByName(_narrowed(big))
-    spans = spans.groupBy("h", "c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    # surroundings that occur twice are repeated as a whole
-    again = kinds.where("n > 1").select("h", "c1", "c2", F.lit(True).alias("again"))
-    mixed = whole.where("mixed").join(again, ["h", "c1", "c2"], "left")
-    parts = mixed.where("again is null").join(spans, ["h", "c1", "c2"]).select("uid", "at", F.explode("spans").alias("s")).select("uid", (F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi")).alias("hi"))
-    return whole.where("not mixed").select("uid", "lo", "hi").unionByName(mixed.where("again").select("uid", "lo", "hi")).unionByName(parts)
+        parts.append(_narrowed(big))
+    spans = written(union_all(parts).groupBy("h", "c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    forget(near)
+    # surroundings that occur twice are repeated as a whole, and so are all of a string that has one kind of them
+    again = written(kinds.where("n > 1").select("h", "c1", "c2", F.lit(True).alias("again")), "again")
+    forget(kinds)
+    mixed = rows.where("mixed").join(again, ["h", "c1", "c2"], "left")
+    whole = rows.where("not mixed").select("uid", "at").unionByName(mixed.where("again").select("uid", "at"))
+    whole = whole.select("uid", F.greatest(F.lit(0), F.col("at") - LEFT).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+    some = mixed.where("again is null").join(spans, ["h", "c1", "c2"]).select("uid", "at", F.explode("spans").alias("s")).select("uid", (F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi")).alias("hi"))
+    out = written(whole.unionByName(some).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "covered")
+    for t in (rows, spans, again):
+        forget(t)
+    return out
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -330,7 +341,7 @@ def cut(docs: DataFrame) -> DataFrame:
     An empty table gives no rows. Other columns are not read.
     """
     texts = distinct_texts(docs)
-    spans = repeated_spans(texts.select("uid", "text")).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(texts.select("uid", "text"))
     rows = texts.select("uid", "key", F.col("text").cast("binary").alias("text"), "copies").join(spans, "uid", "left").select("key", "text", "copies", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
