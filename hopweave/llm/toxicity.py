@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from hopweave.llm.common import LOWER, chunks, joined, prefix_hash, span_hash
 
 CHAIN = ("low_quality", "toxic")
-TRAIN_ROWS, FEATURES, FOLDS = 8000, 192, 5
+TRAIN_ROWS, FEATURES, FOLDS = 5000, 192, 5
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 0)
 LEAST_DOCS, LEAST_Z = 5, 4.0
