@@ -75,14 +75,14 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        seg = lambda t: np.frombuffer(enc.encode(escape(t)), "<u4").astype(np.int32)
         last: object = enc  # no conversation yet
         for batch in batches:
             ids, masks, firsts = [], [], []
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            segments = [np.frombuffer(e, "<u4").astype(np.int32) for e in enc.encode_many([escape(t) for t in roles + texts])]
+            for conv, role, r, t in zip(batch.column(0).to_pylist(), roles, segments[: len(roles)], segments[len(roles) :], strict=True):
                 first, last = conv != last, conv
-                parts = [seg(text)] if role in ("user", "assistant") else [seg(role), seg(text)]
-                i, m = assemble(role, parts, first)
+                i, m = assemble(role, [r, t], first)
                 ids.append(i)
                 masks.append(m)
                 firsts.append(first)
@@ -97,10 +97,10 @@ class Reader:
     """Turns ids back into text: reserved ids to markers, the others through the tokenizer."""
 
     def __init__(self, tokenizer: str):
-        self.decoder = encoder(tokenizer).tokenizer
+        self.encoder = encoder(tokenizer)
 
     def text(self, ids: np.ndarray) -> str:
-        return self.decoder.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
+        return self.encoder.decode(ids)
 
     def parse(self, ids: np.ndarray) -> tuple[str, str, str]:
         """(role, text, rendered) of one turn."""
