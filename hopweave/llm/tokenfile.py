@@ -20,20 +20,24 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import shared_dir
+from hopweave.llm.common import chunks, shared_dir
 
 HEAD = struct.Struct("<4sBBHIQQ")
 MAGIC, VERSION = b"HWTK", 1
 #: A block is closed once it has so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Entries of the memo of encoded chunks; it is emptied when full and never changes a result.
-MEMO = 300_000
+#: Entries of the memo of encoded chunks, some 250 MB a worker; emptied when full, it never changes a result.
+MEMO = 1_200_000
+#: Bytes of text that are encoded together.
+PASS = 1 << 19
 
 
 def bits_for(vocab: int) -> int:
@@ -87,16 +91,23 @@ class Block:
         return unpack(self.payload, self.bits, 0, self.n_ids)
 
 
+def byte_symbols() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the
+    others, in ascending order, as the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Encodes with the tokenizers library.
 
-    Byte-level BPE never merges across a single space that stands between two
-    characters that are no white space, so a text is cut there, each distinct
-    chunk is encoded once, and the pieces are joined. Other spaces stay inside
-    their chunk.
+    Byte-level BPE never merges across a single space or line feed that stands
+    between two characters that are no white space, so a text is cut there, each
+    distinct chunk is encoded once, and the pieces are joined. A text with other
+    white space is cut at such single spaces only.
     """
 
-    ODD = re.compile(r"\s[ ]|[ ](?:\s|$)|^[ ]")
     CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -107,58 +118,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.feed = self._each(["\n"])[0]
+        self.raw: list[bytes] = []
+        self.clear()
+
+    def clear(self) -> None:
+        #: of chunks at the start of a text or line, and of those behind a space
+        self.heads: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Plain words go to the library many at a time, told apart by the word numbers it gives."""
-        words = [c for c in chunks if c[0] == " " and c[1:].isalpha()]
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Plain words go to the library many at a time, told apart by the word
+        numbers it gives; a stop or comma behind a word is always a chunk of its own."""
         memo = self.memo
-        for lo in range(0, len(words), 512):
-            part = words[lo : lo + 512]
-            enc = self.tokenizer.encode("".join(part), add_special_tokens=False)
+        tailed = {c for c in missing if c[-1:] in (".", ",") and c[:-1].isalpha()}
+        words = [c for c in missing if c.isalpha()] + [w for w in {c[:-1] for c in tailed} if w not in memo and w not in missing]
+        odd = [c for c in missing if c not in tailed and not c.isalpha()]
+        odd += self._joined(words, " ", memo)
+        for lo in range(0, len(odd), 1024):
+            part = odd[lo : lo + 1024]
+            memo.update(zip(part, self._each([" " + c for c in part]), strict=True))
+        if tailed:
+            ends = dict(zip(".,", self._each([".", ","]), strict=True))
+            memo.update({c: memo[c[:-1]] + ends[c[-1]] for c in tailed})
+
+    def _joined(self, words: list[str], gap: str, memo: dict[str, bytes]) -> list[str]:
+        """Encode words behind a space or at the start of a line, thousands in one
+        call; returns those that the library cut otherwise than expected."""
+        failed: list[str] = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            enc = self.tokenizer.encode(gap + gap.join(part), add_special_tokens=False)
             ids, at = np.array(enc.ids, "<u4"), np.array(enc.word_ids, np.int64)
+            if gap == "\n":  # line feeds are words of their own: the odd ones remain
+                keep = at % 2 == 1
+                ids, at = ids[keep], at[keep] // 2
             cut = np.searchsorted(at, np.arange(len(part) + 1))
             if at[-1] != len(part) - 1 or (np.diff(at) < 0).any() or (np.diff(cut) < 1).any():
-                chunks = chunks | set(part)  # cut otherwise than expected: one by one
+                failed += part
                 continue
-            raw = ids.tobytes()
-            memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-        rest = [c for c in chunks if c not in memo]
-        for lo in range(0, len(rest), 1024):
-            part = rest[lo : lo + 1024]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        memo = self.memo
-        got = list(map(memo.get, pieces))
-        if None in got:
-            if len(memo) > MEMO:
-                memo.clear()
-                missing = set(pieces)
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            memo.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        return failed
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts as little-endian u32 bytes; null and empty give none."""
+        if len(self.memo) + len(self.heads) > MEMO:
+            self.clear()
+        split: list[list[list[str]]] = []
+        for t in texts:
+            if not t:
+                split.append([])
+                continue
+            lines = [line.split(" ") for line in t.split("\n")]
+            # as many words as chunks, none empty: no white space but single spaces and line feeds
+            if len(t.split()) == sum(map(len, lines)) and not any("" in p for p in lines):
+                split.append(lines)
             else:
-                missing = {p for p, g in zip(pieces, got, strict=True) if g is None}
+                split.append([self.CUT.split(t)])
+        heads = {p[0] for lines in split for p in lines}.difference(self.heads)
+        if heads:
+            new = self._joined([h for h in heads if h.isalpha()], "\n", self.heads) + [h for h in heads if not h.isalpha()]
+            self.heads.update(zip(new, self._each(new), strict=True))
+        missing = set(chain.from_iterable(islice(p, 1, None) for lines in split for p in lines)).difference(self.memo)
+        if missing:
             self._learn(missing)
-            got = [memo[p] for p in pieces]
-        return got
+        get, head = self.memo.__getitem__, self.heads
+        return [self.feed.join([head[p[0]] + b"".join(map(get, islice(p, 1, None))) for p in lines]) for lines in split]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian u32 bytes; null and empty give none."""
-        if not text:
-            return b""
-        parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-        # a letter and a following mark are always cut apart as well
-        pieces, first = [], True
-        push = pieces.append
-        for p in parts:
-            w = p if first else " " + p
-            first = False
-            if w[-1] in ".," and w[1:-1].isalpha() and w[0] == " ":
-                push(w[:-1])
-                push(w[-1])
-            else:
-                push(w)
-        return b"".join(self._known(pieces))
+        return self.encode_many([text])[0]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The exact text of ids of this vocabulary: a byte-level token is the bytes it stands for."""
+        if not self.raw:
+            of = byte_symbols()
+            self.raw = [bytes(map(of.__getitem__, self.tokenizer.id_to_token(i))) if all(c in of for c in self.tokenizer.id_to_token(i)) else b"" for i in range(self.tokenizer.get_vocab_size())]
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -170,7 +209,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[str | None], bytes]], vocab: int, end_id: int) -> None:
+def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[list[str | None]], list[bytes]]], vocab: int, end_id: int) -> None:
     """Encode every whole text, add ``end_id`` and write the token file to ``out``.
 
     Rows go to ascending ranges of (doc_id, hash of the text), nulls first, so
@@ -200,13 +239,15 @@ def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[str |
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc(t.as_py()) + end
-                held.append(ids)
-                who.append(d)
-                state["n"] += len(ids) // 4
-                if state["n"] >= BLOCK_IDS:
-                    yield flush()
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in chunks(sizes, PASS):
+                got = enc(batch.column(1).slice(lo, hi - lo).to_pylist())
+                for d, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), got, strict=True):
+                    held.append(ids + end)
+                    who.append(d)
+                    state["n"] += len(ids) // 4 + 1
+                    if state["n"] >= BLOCK_IDS:
+                        yield flush()
         if held:
             yield flush()
 
@@ -249,5 +290,5 @@ def encode_documents(docs: DataFrame, tokenizer: str, vocab: int = 50257, end_id
     """
     spark = docs.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, out, lambda: encoder(tokenizer).encode, vocab, end_id)
+    write_tokens(docs, out, lambda: encoder(tokenizer).encode_many, vocab, end_id)
     return read_digests(spark, out)
