@@ -73,7 +73,8 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, place, h, ck1, ck2): each anchor, the hash of its string and of its surroundings."""
+    """(text, place, h, ck1, ck2): each anchor once, the hash of its string and of its surroundings."""
+    last_of = (-1, -1)  # text and place of the last anchor: the next unit of the text may start with it
     for batch in units(texts):
         data = np.frombuffer(b"".join([texts[i][lo:hi] for i, lo, hi, _, _ in batch]), np.uint8)
         base = np.concatenate(([0], np.cumsum([hi - lo for _, lo, hi, _, _ in batch])))
@@ -85,6 +86,11 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         for (i, lo, hi, first, last), b in zip(batch, base[:-1].tolist(), strict=True):
             found = low[b + first - lo : b + last - lo]
             a = np.unique(found[np.concatenate(([True], found[1:] != found[:-1]))]).astype(np.int64)
+            # places never fall from one window to the next, so only the first can be known
+            a = a[int((i, a[0] - b + lo) == last_of) :]
+            if not len(a):
+                continue
+            last_of = (i, a[-1] - b + lo)
             left, right = np.maximum(a - LEFT, b), np.minimum(a + LENGTH, b + hi - lo)
             shape = ((a - left) * 1000 + right - a).astype(np.uint64)
             yield np.full(len(a), i), a - b + lo, h[a], span_hash(p1, left, right) ^ shape, span_hash(p2, left, right)

@@ -73,3 +73,21 @@ def test_texts_keep_columns(spark):
     assert df.columns == suffix.deduplicate(df).columns and len(got) == 4
     assert got[None].text is None and got[3].text == "alone" and len(got[1].text) < 200
     assert suffix.report(df.limit(0)).count() == 0
+
+
+def test_anchors_of_long_texts_are_unique(monkeypatch):
+    texts = [(t or "").encode() for t in corpus(3)] + [" ".join(t or "" for t in corpus(4)).encode()]
+    places = lambda: [tuple(int(x) for x in p) for rows in suffix.anchors(texts) for p in zip(*rows, strict=True)]
+    whole = places()
+    monkeypatch.setattr(suffix, "PASS", 500)
+    assert len(texts[-1]) > 10_000 and sorted(places()) == sorted(whole)
+
+
+def test_nothing_is_cut_at_the_border_of_a_pass(spark):
+    # workers read PASS from the module, so the text is as long as it takes for two borders
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=2 * suffix.PASS + 1000))
+    texts = [long, "x" * 30 + long[2 * suffix.PASS - 150 : 2 * suffix.PASS + 150]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
