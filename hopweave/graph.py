@@ -110,7 +110,7 @@ class PropertyGraph:
         return cls(spark, schema, vertices, {e.name: spark.read.parquet(f"{path}/edge/{e.name}") for e in schema.edges})
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with ``part`` and ``at``: rows dealt by ranges of ``order`` and numbered
     in each. No row order needs a single task."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopweave.graph import numbered
+
 
 def hash_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Inner join on one key: a's columns, then b's without the key; a bag."""
@@ -133,5 +135,10 @@ def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
-    """``df`` with ``rank`` from 1 in the given order; for bounded results such as a top-k."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """``df`` with ``rank`` int from 1 in the given order, sorted by it. Rows are numbered by ranges; no task sees them all."""
+    rows = numbered(df, *order)
+    # one row a part, so a window over all of them is small
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+    base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    rank = (F.col("base") + F.col("at")).cast("int").alias("rank")
+    return reorder(rows.join(F.broadcast(base), "part").select(*df.columns, rank), "rank")

@@ -263,7 +263,7 @@ register("count", sql("SELECT count(*) AS count FROM r", _REACH2, _PAIRS2))(lamb
 _REACH1, _PAIRS1 = walk("w", NATION0, FWD_SQL, 1), "r AS (SELECT DISTINCT s AS a, v AS b FROM w WHERE k = 1)"
 _COLUMN = "SELECT id AS b, count(a)::INT AS count FROM account LEFT JOIN r ON id = b GROUP BY 1"
 register("column_count", sql(_COLUMN, _REACH1, _PAIRS1))(lambda g: aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account")))
-register("column_count_asc", sql(f"SELECT *, row_number() OVER (ORDER BY count, b)::INT AS rank FROM (SELECT * FROM ({_COLUMN}) ORDER BY count, b LIMIT 50)", _REACH1, _PAIRS1))(lambda g: joins.ranked(aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account"), "asc").limit(50), "count", "b"))
+register("column_count_asc", sql(f"SELECT *, row_number() OVER (ORDER BY count, b)::INT AS rank FROM (SELECT * FROM ({_COLUMN}) ORDER BY count, b LIMIT 50)", _REACH1, _PAIRS1))(lambda g: joins.ranked(aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account")), "count", "b"))
 register("row_or", sql("SELECT DISTINCT b FROM r", _REACH2, _PAIRS2))(lambda g: aggregate.row_or(reach2(g), "b"))
 
 
@@ -288,7 +288,7 @@ register("union_layers", sql("SELECT src, dst FROM transfer UNION SELECT src, ds
 register("visited_difference", sql("SELECT src, dst FROM transfer EXCEPT SELECT src, dst FROM withdraw"))(lambda g: joins.difference(*_two_sets(g)))
 register("column_and", sql("SELECT src, dst FROM transfer INTERSECT SELECT src, dst FROM withdraw"))(lambda g: joins.intersection(*_two_sets(g)))
 register("complement", sql("SELECT p.id AS src, q.id AS dst FROM person p, person q WHERE p.community = 0 AND q.community = 1 AND NOT EXISTS (SELECT 1 FROM transfer t WHERE t.src = p.id AND t.dst = q.id)"))(lambda g: joins.complement(_two_sets(g)[0], group(g, 0, "src"), group(g, 1, "dst")))
-register("reorder", sql("SELECT id, community, row_number() OVER (ORDER BY community DESC, id)::INT AS rank FROM (SELECT * FROM person ORDER BY community DESC, id LIMIT 200)"))(lambda g: joins.ranked(joins.reorder(g.scan("Person", ["id", "community"]), F.desc("community"), "id").limit(200), F.desc("community"), "id"))
+register("reorder", sql("SELECT id, community, row_number() OVER (ORDER BY community DESC, id)::INT AS rank FROM (SELECT * FROM person ORDER BY community DESC, id LIMIT 200)"))(lambda g: joins.ranked(g.scan("Person", ["id", "community"]), F.desc("community"), "id"))
 register("top_k", sql("SELECT id, balance FROM loan ORDER BY balance DESC, id LIMIT 25"))(lambda g: joins.top_k(g.scan("Loan", ["id", "balance"]), 25, F.desc("balance"), "id"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.operators import aggregate, expand as ex, joins
+from hopweave.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +128,14 @@ def test_set_operations(spark):
     assert {k: rows(d) for k, d in parts.items()} == {1: [(2,)], 2: [(2,)]}
     left, right = a.select(F.col("s").alias("x"), F.col("t").alias("m")), b.select(F.col("s").alias("y"), F.col("t").alias("m"))
     assert rows(joins.boolean_product(left, right, "m")) == [(1, 1), (1, 2)]
+
+
+def test_ranked_queries_return_all_rows(spark):
+    d = "/root/testdata/sf0.01"
+    people = [(r.c_custkey, r.c_nationkey) for r in spark.read.parquet(f"{d}/customer.parquet").collect()]
+    got = [(r.id, r.community, r["rank"]) for r in QUERIES["reorder"](spark, d).collect()]
+    want = sorted(people, key=lambda p: (-p[1], p[0]))
+    assert got == [(i, c, k) for k, (i, c) in enumerate(want, 1)]
+    got = [(r.b, r["count"], r["rank"]) for r in QUERIES["column_count_asc"](spark, d).collect()]
+    want = sorted(((r["count"], r.b) for r in QUERIES["column_count"](spark, d).collect()))
+    assert len(want) == len(people) and got == [(b, n, k) for k, (n, b) in enumerate(want, 1)]
