@@ -140,12 +140,12 @@ def _(g):
 
 @register("expand_neighbor_bwd", sql("SELECT DISTINCT dst AS a, src AS b FROM deposit WHERE dst < 40"))
 def _(g):
-    return plan(g).inline_vid_range("a", 0, 39).csr_expand_to_neighbor("a", "b", "Account", "Loan", "deposit").df
+    return plan(g).scan("Account", "a").csr_expand_to_neighbor("a", "b", "Account", "Loan", "deposit").df
 
 
 @register("expand_neighbor_distance", sql("SELECT DISTINCT src AS a, dst AS b, 1 AS distance FROM transfer WHERE src < 40"))
 def _(g):
-    return plan(g).inline_vid_range("a", 0, 39).csr_expand_to_neighbor("a", "b", "Account", "Account", "transfer", FWD, True).df
+    return plan(g).scan("Account", "a").csr_expand_to_neighbor("a", "b", "Account", "Account", "transfer", FWD, True).df
 
 
 def _walks(name: str, select: str, edges_sql: str, k_min: int, k_max: int, path: str, distance: str | None, edges: Callable[[PropertyGraph], object], strategy: str = "auto") -> None:

@@ -139,3 +139,12 @@ def test_ranked_queries_return_all_rows(spark):
     got = [(r.b, r["count"], r["rank"]) for r in QUERIES["column_count_asc"](spark, d).collect()]
     want = sorted(((r["count"], r.b) for r in QUERIES["column_count"](spark, d).collect()))
     assert len(want) == len(people) and got == [(b, n, k) for k, (n, b) in enumerate(want, 1)]
+
+
+def test_neighbour_queries_start_from_all_accounts(spark):
+    d = "/root/testdata/sf0.001"
+    orders = sorted((r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey").collect())
+    got = [tuple(r) for r in QUERIES["expand_neighbor_bwd"](spark, d).select("a", "b").collect()]
+    assert sorted(got) == sorted({(c, o) for o, c in orders})
+    got = [tuple(r) for r in QUERIES["expand_neighbor_distance"](spark, d).select("a", "b", "distance").collect()]
+    assert sorted(got) == sorted({(x[1], y[1], 1) for x, y in zip(orders[:-1], orders[1:], strict=True)})
