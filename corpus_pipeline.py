@@ -42,8 +42,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, best_score and n_best of each document."""
-    return pieces.encode(docs.select("doc_id", "text"), PIECES, 4).select("doc_id", "ids", "best_score", "n_best")
+    """doc_id, ids, best_score, n_best and alternatives of each document."""
+    return pieces.encode(docs.select("doc_id", "text"), PIECES, 4).select("doc_id", "ids", "best_score", "n_best", "alternatives")
 
 
 STAGES = [

@@ -312,6 +312,10 @@ class Solver:
 
     def solve(self, texts: list[str], n: int) -> list[tuple[bytes, list[float]]]:
         """(ids of the best, the n best scores) of each whole text."""
+        return [(ids[0] if ids else b"", scores) for ids, scores in self.solve_all(texts, n)]
+
+    def solve_all(self, texts: list[str], n: int) -> list[tuple[list[bytes], list[float]]]:
+        """(ids of the n best, their scores) of each whole text."""
         parts = [self.segments(t) if t else [] for t in texts]
         if len(self.at) > MEMO:
             self.clear()
@@ -322,26 +326,43 @@ class Solver:
             score, gap = self.score[0], self.gap[0]
         for p in parts:
             if not p:
-                out.append((b"", []))
+                out.append(([], []))
                 continue
             at = np.fromiter(map(self.at.__getitem__, p), np.int64, len(p))
             best = float(score[at].sum())
-            out.append((b"".join(map(self.ids.__getitem__, at.tolist())), self.n_best(p, gap[at], best, n)))
+            out.append(self.n_best(p, list(map(self.ids.__getitem__, at.tolist())), gap[at], best, n))
         return out
 
-    def n_best(self, parts: list[str], gaps: np.ndarray, best: float, n: int) -> list[float]:
-        """Scores of the n best whole segmentations."""
+    def n_best(self, parts: list[str], ids: list[bytes], gaps: np.ndarray, best: float, n: int) -> tuple[list[bytes], list[float]]:
+        """Ids and scores of the n best whole segmentations; ``ids``: of each part's best."""
         if n < 2:
-            return [best][:n]
+            return [b"".join(ids)], [best][:n]
         if len(gaps) > n - 1:
             near = np.argpartition(gaps, n - 2)[: n - 1]
         else:
             near = np.arange(len(gaps))
-        chosen = [parts[i] for i in np.sort(near) if np.isfinite(gaps[i])]
-        if not chosen:
-            return [best]
+        near = [i for i in np.sort(near).tolist() if np.isfinite(gaps[i])]
+        if not near:
+            return [b"".join(ids)], [best]
+        chosen = [parts[i] for i in near]
         found = a_star(self.v, chosen, n)
-        return [best + (s - found[0][0]) for s, _ in found]
+        own = [ids[i] for i in near]
+        # of equal scores A* may put another first, or even have n others; the best stays the best
+        others = [x for x in (self._by_part(chosen, places) for _, places in found) if x != own][: len(found) - 1]
+        fixed = [b"".join(ids[a + 1 : b]) for a, b in zip([-1, *near], [*near, len(ids)], strict=True)]
+        whole = [fixed[0] + b"".join([x + f for x, f in zip(xs, fixed[1:], strict=True)]) for xs in [own, *others]]
+        return whole, [best + (s - found[0][0]) for s, _ in found]
+
+    def _by_part(self, parts: list[str], places: list[int]) -> list[bytes]:
+        """Ids of each part under a segmentation of the joined parts."""
+        text, out, ids, end, k = "".join(parts), [], [], len(parts[0]), 0
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            ids += self.v.edge_ids(text[a:b])
+            if b == end:
+                out.append(np.array(ids, "<u4").tobytes())
+                ids, k = [], k + 1
+                end += len(parts[k]) if k < len(parts) else 0
+        return out
 
 
 _SOLVERS: dict[str, Solver] = {}
@@ -358,18 +379,24 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.raw.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataFrame:
-    """``docs`` with ids array<int>, best_score double and n_best array<double>
-    (scores of the n best segmentations, fewer where there are no more).
+    """``docs`` with ids array<int>, best_score double, n_best array<double>
+    (scores of the n best segmentations, fewer where there are no more) and
+    alternatives array<array<int>> (ids of those behind the best, in the same order).
 
-    Null and empty texts have no ids, a null score and an empty list. All rows
+    Null and empty texts have no ids, a null score and empty lists. All rows
     stay; columns of these names are replaced; whole texts of any length are
     encoded.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "best_score", "n_best")]
+    keep = [c for c in docs.columns if c not in ("ids", "best_score", "n_best", "alternatives")]
     at = keep.index(text)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.ArrayType(T.DoubleType())), T.StructField("alternatives", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = solver(model)
@@ -377,28 +404,36 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
             for lo, hi in chunks(sizes, PASS):
                 part = batch.slice(lo, hi - lo)
-                got = s.solve([t or "" for t in part.column(at).to_pylist()], n)
-                ends = np.concatenate(([0], np.cumsum([len(g[0]) // 4 for g in got]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([g[0] for g in got]), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([g[1][0] if g[1] else None for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.float64()))], [*batch.schema.names, "ids", "best_score", "n_best"])
+                got = s.solve_all([t or "" for t in part.column(at).to_pylist()], n)
+                ids = _lists([g[0][0] if g[0] else b"" for g in got])
+                ends = np.concatenate(([0], np.cumsum([len(g[0][1:]) for g in got]))).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), _lists([x for g in got for x in g[0][1:]]))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([g[1][0] if g[1] else None for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.float64())), others], [*batch.schema.names, "ids", "best_score", "n_best", "alternatives"])
 
     return rows.mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, model: str) -> DataFrame:
-    """Decode ``encode`` rows again: doc_id, n_pieces, best_score, n_best,
-    ids_crc32, and whether the decoded text equals the text (null as empty)."""
-    cols = ["doc_id", "text", "ids", "best_score", "n_best"]
+    """Decode ``encode`` rows again: doc_id, n_pieces, best_score, n_best, ids_crc32,
+    whether every segmentation decodes to the text (null as empty), and n_pieces
+    and ids_crc32 of the alternatives."""
+    cols = ["doc_id", "text", "ids", "best_score", "n_best", "alternatives"]
+    added = "other_pieces array<long>, other_crc32 array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = solver(model).v
         for batch in batches:
-            n, crc, same = [], [], []
-            for t, ids_ in zip(batch.column(1), batch.column(2), strict=True):
-                ids = ids_.values.to_numpy()
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(decode(v, ids) == (t.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(3), batch.column(4), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "best_score", "n_best", "ids_crc32", "round_trip"])
-
-    return encoded.select(*cols).mapInArrow(run, "doc_id long, n_pieces long, best_score double, n_best array<double>, ids_crc32 long, round_trip boolean")
+            n, crc, same, more, sums = [], [], [], [], []
+            for t, ids, others in zip(batch.column(1), batch.column(2), batch.column(5), strict=True):
+                all_ = [x.values.to_numpy() for x in (ids, *others)]
+                sizes, crcs = [len(x) for x in all_], [zlib.crc32(x.astype("<u4").tobytes()) for x in all_]
+                n.append(sizes[0])
+                crc.append(crcs[0])
+                more.append(sizes[1:])
+                sums.append(crcs[1:])
+                text = t.as_py() or ""
+                same.append(all(decode(v, x) == text for x in all_))
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(3), batch.column(4), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(more, many), pa.array(sums, many)], ["doc_id", "n_pieces", "best_score", "n_best", "ids_crc32", "round_trip", "other_pieces", "other_crc32"])
+
+    return encoded.select(*cols).mapInArrow(run, f"doc_id long, n_pieces long, best_score double, n_best array<double>, ids_crc32 long, round_trip boolean, {added}")

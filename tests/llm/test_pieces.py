@@ -53,3 +53,27 @@ def test_frame(spark):
     assert got.ids_crc32[0] == got.ids_crc32[6]
     assert all(list(x) == sorted(x, reverse=True) for x in got.n_best)
     assert not pieces.encode(df.limit(0), PIECES).count()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="thean in.,ß\n▁é", min_size=1, max_size=11))
+def test_all_n_segmentations_have_their_ids(solver, text):
+    found, scores = solver.solve_all([text], 4)[0]
+    assert len(set(found)) == len(found) == len(scores) == min(4, len(brute(solver.v, text)))
+    assert found[0] == solver.solve([text], 4)[0][0]
+    for raw, score in zip(found, scores, strict=True):
+        ids = np.frombuffer(raw, "<u4")
+        assert pieces.decode(solver.v, ids) == text
+        if not any(i in solver.v.bytes_id.values() for i in ids):
+            assert np.isclose(sum(solver.v.scores[i] for i in ids), score)
+
+
+def test_frame_has_the_alternatives(spark):
+    texts = ["Hello  world, again.", None, "", "thing " * 3000, "\U0001f600 ▁ tab\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pieces.encode(df, PIECES, 4)
+    v = pieces.Vocabulary(PIECES)
+    for r in rows.collect():
+        assert len(r.alternatives) == max(0, len(r.n_best) - 1)
+        assert all(pieces.decode(v, np.array(x)) == (r.text or "") and x != r.ids for x in r.alternatives)
+    assert all(r.round_trip and len(r.other_crc32) == len(set(r.other_crc32)) == len(r.other_pieces) == max(0, len(r.n_best) - 1) for r in pieces.digests(rows, PIECES).collect())
