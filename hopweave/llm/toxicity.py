@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopweave.llm.common import LOWER, chunks, joined, prefix_hash, span_hash
+from hopweave.llm.common import LOWER, chunks, forget, joined, prefix_hash, span_hash, written
 
 CHAIN = ("low_quality", "toxic")
-TRAIN_ROWS, FEATURES, FOLDS = 5000, 192, 5
+TRAIN_ROWS, FEATURES, FOLDS = 8000, 192, 5
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 0)
 LEAST_DOCS, LEAST_Z = 5, 4.0
@@ -86,10 +86,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
 def select(names: np.ndarray, at: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The features whose share among positives departs most from that among
     negatives. ``at``: places in ``names`` (sorted), each with the row that has it."""
-    n1, n0 = max(1.0, float(y.sum())), max(1.0, float((1 - y).sum()))
     pos = np.bincount(at, y[rows], len(names))
-    neg = np.bincount(at, minlength=len(names)) - pos
-    share = (pos + neg) / (n1 + n0)
+    return strongest(names, pos, np.bincount(at, minlength=len(names)), float(y.sum()), len(y))
+
+
+def strongest(names: np.ndarray, pos: np.ndarray, count: np.ndarray, positives: float, n: int) -> np.ndarray:
+    """``select`` by counts: the positives that have each feature and the rows that do, of all positives and rows."""
+    n1, n0 = max(1.0, positives), max(1.0, n - positives)
+    neg = count - pos
+    share = count / (n1 + n0)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     best = np.lexsort((names, -z))[:FEATURES]
     return np.sort(names[best[z[best] >= LEAST_Z]])
@@ -170,11 +175,34 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[Column], train_rows: i
             packed = [np.array(sorted(g), "<u8").tobytes() for g in got]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["f", "y", "k"])
 
-    got = rows.mapInArrow(seen, "f binary, y array<int>, k long").toPandas().sort_values(["k", "f"], ignore_index=True)
+    sample = written(rows.mapInArrow(seen, "f binary, y array<int>, k long"), "sample")
+    ys = [f"y{i}" for i in range(len(targets))]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            names, at = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
+            y = np.repeat(np.array(batch.column(1).to_pylist(), np.int64).reshape(len(raw), len(ys)), [len(f) // 8 for f in raw], 0)
+            sums = [np.bincount(at, y[:, c], len(names)).astype(np.int64) for c in range(len(ys))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names.view(np.int64), np.bincount(at, minlength=len(names)), *sums)], ["h", "n", *ys])
+
+    # the driver ranks by counts; of the rows it then gets only the features that a model reads
+    total = sample.agg(F.count("*"), *[F.coalesce(F.sum(F.col("y")[c]), F.lit(0)) for c in range(len(ys))]).first()
+    by_name = sample.select("f", "y").mapInArrow(counts, ", ".join(f"{c} long" for c in ("h", "n", *ys))).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_DOCS).toPandas()
+    names = by_name["h"].to_numpy(np.int64).view(np.uint64)
+    known = np.unique(np.concatenate([strongest(names, by_name[c].to_numpy(float), by_name["n"].to_numpy(float), float(t), total[0]) for c, t in zip(ys, total[1:], strict=True)]))
+    del by_name, names
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x[np.isin(x, known)].tobytes() for x in (np.frombuffer(f, "<u8") for f in batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *batch.columns[1:]], ["f", "y", "k", "o"])
+
+    got = sample.select("f", "y", "k", F.md5("f").alias("o")).mapInArrow(narrow, "f binary, y array<int>, k long, o string").toPandas().sort_values(["k", "o"], ignore_index=True)
+    forget(sample)
     sizes = np.array([len(f) // 8 for f in got["f"]], int)
     y = np.array([list(v) for v in got["y"]], float).reshape(len(got), len(targets))
     feats = np.frombuffer(b"".join(got["f"]), "<u8")
-    del got
     return Chain(np.repeat(np.arange(len(y), dtype=np.int32), sizes), feats, y)
 
 

@@ -60,3 +60,19 @@ def test_nothing_to_learn(spark):
     model = x.chain_of(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert x.score(df, model).first().p_toxic < 0.5000001
     assert x.score(df.limit(0), model).count() == 0
+
+
+def test_driver_gets_counts_and_fits_the_same_chain(spark):
+    assert x.TRAIN_ROWS == 8000
+    rng = np.random.default_rng(1)
+    words = np.array([f"word{i}" for i in range(400)])
+    texts = [" ".join(rng.choice(words, 30)) + (" vile scum" if i % 3 == 0 else "") + (" spam" if i % 4 == 0 else "") for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    pairs = sorted({(r, f) for row, h in x.features(texts) for r, f in zip(row.tolist(), h.tolist(), strict=True)})
+    y = np.array([(i % 4 == 0, i % 3 == 0) for i in range(600)], float)
+    want = x.Chain(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], np.uint64), y)
+    got = x.chain_of(df, labels)
+    assert got.known.tolist() == want.known.tolist() and len(got.known)
+    for a, b in zip(got.links, want.links, strict=True):
+        assert np.allclose(a.weight, b.weight) and np.allclose(a.chained, b.chained) and np.isclose(a.bias, b.bias)
