@@ -36,7 +36,8 @@ MARK = "▁"
 #: lone surrogate, so no valid text has it.
 LITERAL = "\udfff"
 UNKNOWN_PENALTY = 10.0
-#: Segments longer than this are solved one at a time, in memory linear in their length.
+#: Segments longer than this are solved one at a time, in memory linear in their length; by
+#: the same rules, so it changes no result.
 WIDE = 48
 #: Characters a kernel pass takes, and segments the memo holds; neither changes a result.
 PASS, MEMO = 1 << 20, 250_000
@@ -181,50 +182,41 @@ class Solver:
             out.append(held)
         return out
 
-    def _split_long(self, text: str) -> list[str]:
-        cut = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.v.pairs], len(text)]
-        return [text[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
     def _one(self, text: str) -> tuple[bytes, float, float]:
-        ids, score, gap = [], 0.0, np.inf
-        for part in self._split_long(text):
-            got = a_star(self.v, [part], 2) if len(part) <= WIDE else self._linear(part)
-            places = got[0][1]
-            for a, b in zip(places[:-1], places[1:], strict=True):
-                ids += self.v.edge_ids(part[a:b])
-            score += got[0][0]
-            if len(got) > 1:
-                gap = min(gap, got[0][0] - got[1][0])
-        return np.array(ids, "<u4").tobytes(), score, gap
+        got = self._linear(text)
+        places, ids = got[0][1], []
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            ids += self.v.edge_ids(text[a:b])
+        return np.array(ids, "<u4").tobytes(), got[0][0], got[0][0] - got[1][0] if len(got) > 1 else np.inf
 
     def _linear(self, text: str) -> list[tuple[float, list[int]]]:
-        """As a_star for n = 2, without hypotheses: forward and backward scores of all edges."""
+        """What ``_many`` does for one segment of any length, in the same order and with
+        the same rule for ties (the later start); edges are looked up again instead of kept."""
         n = len(text)
-        alpha, back, edges = [0.0], [0], []
+        alpha, back = [0.0], [0]
         for end in range(1, n + 1):
-            here = list(self.v.edges(text, end))
-            edges.append(here)
-            s, w = max(here, key=lambda e: (alpha[e[0]] + e[1], e[0]))
+            s, w = max(self.v.edges(text, end), key=lambda e: (alpha[e[0]] + e[1], e[0]))
             alpha.append(alpha[s] + w)
             back.append(s)
         beta = [-np.inf] * n + [0.0]
         for end in range(n, 0, -1):
-            for s, w in edges[end - 1]:
+            for s, w in self.v.edges(text, end):
                 beta[s] = max(beta[s], w + beta[end])
         places = [n]
         while places[-1]:
             places.append(back[places[-1]])
         places.reverse()
         on = set(zip(places[:-1], places[1:], strict=True))
-        second = max((alpha[s] + w + beta[end] for end in range(1, n + 1) for s, w in edges[end - 1] if (s, end) not in on), default=-np.inf)
+        second = max((alpha[s] + w + beta[end] for end in range(1, n + 1) for s, w in self.v.edges(text, end) if (s, end) not in on), default=-np.inf)
         return [(alpha[n], places)] + [(second, [])] * (second > -np.inf)
 
     def learn(self, missing: list[str]) -> None:
         short = [m for m in missing if len(m) <= WIDE]
         for lo, hi in ((1, 6), (7, 10), (11, 16), (17, 28), (29, WIDE)):
             part = [m for m in short if lo <= len(m) <= hi]
-            for a in range(0, len(part), 20_000):
-                self._many(part[a : a + 20_000])
+            step = min(20_000, 320_000 // hi)
+            for a in range(0, len(part), step):
+                self._many(part[a : a + step])
         for m in missing:
             if len(m) > WIDE:
                 self._put(m, *self._one(m))
@@ -338,7 +330,9 @@ class Solver:
         if n < 2:
             return [b"".join(ids)], [best][:n]
         if len(gaps) > n - 1:
-            near = np.argpartition(gaps, n - 2)[: n - 1]
+            # of equal gaps the first
+            near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
+            near = near[np.argsort(gaps[near], kind="stable")[: n - 1]]
         else:
             near = np.arange(len(gaps))
         near = [i for i in np.sort(near).tolist() if np.isfinite(gaps[i])]
