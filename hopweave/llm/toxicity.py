@@ -2,12 +2,15 @@
 
 The categories are predicted one after the other by linear (logistic) models; a
 later model also reads the earlier categories' probabilities. While training,
-these come from out-of-fold predictions, so a later model never sees an earlier
-one's answer for a row that it was fitted on. ``labels`` has one toxicity
-category and a quality flag; the chain is ("low_quality", "toxic").
+these come from out-of-fold predictions: for each fold, features are chosen and a
+model is fitted on the other folds alone, so a later model never sees an earlier
+one's answer for a row that had any part in it. Rows of equal features, and so all
+copies of a text, are in one fold. ``labels`` has one toxicity category and a quality
+flag; the chain is ("low_quality", "toxic").
 
 A document's features are which words and word beginnings it has (presence,
-whole text): beginnings catch the inflected and compounded forms.
+whole text): beginnings catch the inflected and compounded forms. A model reads the
+``FEATURES`` that tell most, its documented size; they are counted and ranked in Spark.
 
 Fitted on a bounded sample: the ``TRAIN_ROWS`` labelled rows that come first by a
 hash of their id. Everything else covers all rows.
@@ -20,20 +23,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hopweave.llm.common import LOWER, chunks, forget, joined, prefix_hash, span_hash, written
 
 CHAIN = ("low_quality", "toxic")
-TRAIN_ROWS, FEATURES, FOLDS = 8000, 192, 5
+TRAIN_ROWS, FOLDS = 8000, 5
+#: Size of a model: the features it reads at most.
+FEATURES = 192
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 BEGINNINGS = (4, 5, 6, 0)
 LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Probability from which a document counts as toxic.
 REJECT = 0.3
-PASS = 1 << 20
+PASS = 1 << 17
 #: What ends a word: all bytes but ASCII letters, digits and those of longer characters.
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -83,51 +88,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
     return w
 
 
-def select(names: np.ndarray, at: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose share among positives departs most from that among
-    negatives. ``at``: places in ``names`` (sorted), each with the row that has it."""
-    pos = np.bincount(at, y[rows], len(names))
-    return strongest(names, pos, np.bincount(at, minlength=len(names)), float(y.sum()), len(y))
-
-
-def strongest(names: np.ndarray, pos: np.ndarray, count: np.ndarray, positives: float, n: int) -> np.ndarray:
-    """``select`` by counts: the positives that have each feature and the rows that do, of all positives and rows."""
-    n1, n0 = max(1.0, positives), max(1.0, n - positives)
-    neg = count - pos
-    share = count / (n1 + n0)
-    z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    best = np.lexsort((names, -z))[:FEATURES]
-    return np.sort(names[best[z[best] >= LEAST_Z]])
+class Chain:
+    """All links; ``known`` are the features that any of them reads, sorted.
 
+    ``x``: which row has which known feature; ``chosen``: for each category the
+    features to read after training on all rows, and on those outside fold 0, 1, ..."""
 
-class Chain:
-    """All links; ``known`` are the features that any of them reads, sorted."""
-
-    def __init__(self, rows: np.ndarray, feats: np.ndarray, labels: np.ndarray):
-        n = len(labels)
-        fold = np.arange(n) % FOLDS
-        names, count = np.unique(feats, return_counts=True)
-        names = names[count >= LEAST_DOCS]
-        at = np.minimum(np.searchsorted(names, feats), max(len(names) - 1, 0))
-        frequent = names[at] == feats if len(names) else np.zeros(len(feats), bool)
-        rows, feats, at = rows[frequent], feats[frequent], at[frequent]
-        chosen = [select(names, at, rows, labels[:, c]) for c in range(labels.shape[1])]
-        self.known = np.unique(np.concatenate(chosen)) if chosen else feats[:0]
-        x = np.zeros((n, len(self.known)))
-        hit = np.isin(feats, self.known)
-        x[rows[hit], np.searchsorted(self.known, feats[hit])] = 1
-        before = np.zeros((n, 0))
+    def __init__(self, known: np.ndarray, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, chosen: list[list[np.ndarray]]):
+        self.known, n = known, len(labels)
         self.links: list[Link] = []
-        for c, names in enumerate(chosen):
-            y, at = labels[:, c], np.searchsorted(self.known, names)
-            design = np.concatenate((x[:, at], before, np.ones((n, 1))), 1)
-            self.links.append(self._link(at, logistic(design, y), before.shape[1]))
-            out = np.zeros(n)
-            for f in range(FOLDS):
-                if (fold == f).any():
-                    link = self._link(at, logistic(design[fold != f], y[fold != f]), before.shape[1])
-                    out[fold == f] = link.score(x[fold == f][:, at], before[fold == f])
-            before = np.concatenate((before, out[:, None]), 1)
+        before = np.zeros((n, 0))
+        for c, (all_, *others) in enumerate(chosen):
+            self.links.append(self._fitted(x, before, labels[:, c], all_))
+            if c + 1 < len(chosen):  # the last link's are read by no other
+                out = np.zeros(n)
+                for f, names in enumerate(others):
+                    if (fold == f).any():
+                        link = self._fitted(x[fold != f], before[fold != f], labels[fold != f, c], names)
+                        out[fold == f] = link.score(x[fold == f][:, link.at].astype(float), before[fold == f])
+                before = np.concatenate((before, out[:, None]), 1)
+        #: out-of-fold probabilities that later links were trained with, and the labels in the same order
+        self.out_of_fold, self.labels = before, labels
+
+    def _fitted(self, x: np.ndarray, before: np.ndarray, y: np.ndarray, names: np.ndarray) -> Link:
+        at = np.searchsorted(self.known, names)
+        return self._link(at, logistic(np.concatenate((x[:, at], before, np.ones((len(y), 1))), 1), y), before.shape[1])
 
     @staticmethod
     def _link(at: np.ndarray, w: np.ndarray, chained: int) -> Link:
@@ -157,11 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[Column], train_rows: i
     Rows with a null id, text or target are not learned from. A label row that is
     repeated counts as often as it stands, up to the sample's bound.
     """
-    cols = [t.cast("int").alias(f"y{i}") for i, t in enumerate(targets)]
-    picked = labels.select(F.col("doc_id").alias("_label_id"), *cols).dropna()
-    picked = picked.orderBy(F.xxhash64("_label_id"), *picked.columns).limit(train_rows)
+    ys = [f"y{i}" for i in range(len(targets))]
+    picked = labels.select(F.col("doc_id").alias("label"), *[t.cast("int").alias(y) for t, y in zip(targets, ys, strict=True)]).dropna()
+    picked = picked.orderBy(F.xxhash64("label"), *picked.columns).limit(train_rows)
     # at most ``train_rows`` rows of integers: a proven bound for the broadcast
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(picked), F.col("doc_id") == F.col("_label_id")).select("text", F.array(*[f"y{i}" for i in range(len(cols))]).alias("y"), F.col("_label_id").alias("k"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label")).select("text", F.array(*ys).alias("y"), F.col("label").cast("string").alias("k"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,35 +160,59 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[Column], train_rows: i
             packed = [np.array(sorted(g), "<u8").tobytes() for g in got]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["f", "y", "k"])
 
-    sample = written(rows.mapInArrow(seen, "f binary, y array<int>, k long"), "sample")
-    ys = [f"y{i}" for i in range(len(targets))]
+    found = rows.mapInArrow(seen, "f binary, y array<int>, k string")
+    sample = written(found.withColumn("fold", F.pmod(F.xxhash64("f"), F.lit(FOLDS)).cast("int")), "sample")
+    sums = [f"{c}_{f}" for f in range(FOLDS) for c in ("n", *ys)]
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_pylist()
+            sizes = [len(f) // 8 for f in raw]
             names, at = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
-            y = np.repeat(np.array(batch.column(1).to_pylist(), np.int64).reshape(len(raw), len(ys)), [len(f) // 8 for f in raw], 0)
-            sums = [np.bincount(at, y[:, c], len(names)).astype(np.int64) for c in range(len(ys))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names.view(np.int64), np.bincount(at, minlength=len(names)), *sums)], ["h", "n", *ys])
-
-    # the driver ranks by counts; of the rows it then gets only the features that a model reads
-    total = sample.agg(F.count("*"), *[F.coalesce(F.sum(F.col("y")[c]), F.lit(0)) for c in range(len(ys))]).first()
-    by_name = sample.select("f", "y").mapInArrow(counts, ", ".join(f"{c} long" for c in ("h", "n", *ys))).groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_DOCS).toPandas()
-    names = by_name["h"].to_numpy(np.int64).view(np.uint64)
-    known = np.unique(np.concatenate([strongest(names, by_name[c].to_numpy(float), by_name["n"].to_numpy(float), float(t), total[0]) for c, t in zip(ys, total[1:], strict=True)]))
-    del by_name, names
+            y = np.repeat(np.array(batch.column(1).to_pylist(), np.int64).reshape(len(raw), len(ys)), sizes, 0)
+            fold = np.repeat(batch.column(2).to_numpy(), sizes)
+            out = []
+            for f in range(FOLDS):
+                here = fold == f
+                out.append(np.bincount(at[here], minlength=len(names)))
+                out += [np.bincount(at[here], y[here, c], len(names)).astype(np.int64) for c in range(len(ys))]
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *map(pa.array, out)], ["h", *sums])
+
+    total = sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col("y")[c]).alias(y) for c, y in enumerate(ys)]).collect()
+    by_name = sample.select("f", "y", "fold").mapInArrow(counts, ", ".join(f"{c} long" for c in ("h", *sums))).groupBy("h").agg(*[F.sum(c).alias(c) for c in sums])
+    ranks = []
+    for c, y in enumerate(ys):
+        for out in range(-1, FOLDS):  # -1: no fold is left out
+            use = [f for f in range(FOLDS) if f != out]
+            n, positive = (sum(r[x] for r in total if r["fold"] in use) for x in ("n", y))
+            count, pos = (sum((F.col(f"{x}_{f}") for f in use), F.lit(0)) for x in ("n", y))
+            ranks.append(F.struct(F.lit(c).alias("c"), F.lit(out).alias("out"), F.when(count >= LEAST_DOCS, departure(count, pos, n, positive)).alias("z")))
+    # the driver gets FEATURES rows at most for each category and fold
+    told = by_name.select("h", F.explode(F.array(*ranks)).alias("r")).select("h", "r.*").where(F.col("z") >= LEAST_Z)
+    best = told.withColumn("rank", F.row_number().over(Window.partitionBy("c", "out").orderBy(F.desc("z"), "h"))).where(F.col("rank") <= FEATURES).select("h", "c", "out").toPandas()
+    name = best["h"].to_numpy(np.int64).view(np.uint64)
+    chosen = [[np.sort(name[(best["c"] == c) & (best["out"] == out)]) for out in range(-1, FOLDS)] for c in range(len(ys))]
+    known = np.unique(name)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [x[np.isin(x, known)].tobytes() for x in (np.frombuffer(f, "<u8") for f in batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), *batch.columns[1:]], ["f", "y", "k", "o"])
+            has = [np.packbits(np.isin(known, np.frombuffer(f, "<u8"))).tobytes() for f in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(has, pa.binary()), *batch.columns[1:]], ["f", "y", "fold", "k", "o"])
 
-    got = sample.select("f", "y", "k", F.md5("f").alias("o")).mapInArrow(narrow, "f binary, y array<int>, k long, o string").toPandas().sort_values(["k", "o"], ignore_index=True)
+    # one bit a row and known feature
+    got = sample.select("f", "y", "fold", "k", F.md5("f").alias("o")).mapInArrow(narrow, "f binary, y array<int>, fold int, k string, o string").toPandas().sort_values(["k", "o"], ignore_index=True)
     forget(sample)
-    sizes = np.array([len(f) // 8 for f in got["f"]], int)
-    y = np.array([list(v) for v in got["y"]], float).reshape(len(got), len(targets))
-    feats = np.frombuffer(b"".join(got["f"]), "<u8")
-    return Chain(np.repeat(np.arange(len(y), dtype=np.int32), sizes), feats, y)
+    x = np.array([np.unpackbits(np.frombuffer(f, np.uint8), count=len(known)) for f in got["f"]], bool).reshape(len(got), len(known))
+    labels_ = np.array([list(v) for v in got["y"]], float).reshape(len(got), len(ys))
+    return Chain(known, x, labels_, got["fold"].to_numpy(int), chosen)
+
+
+def departure(count: Column, pos: Column, n: int, positives: int) -> Column:
+    """How far a feature's share among positives is from that among negatives, in standard errors;
+    ``count`` rows of ``n`` have it, ``pos`` of the ``positives``."""
+    n1, n0 = float(max(1, positives)), float(max(1, n - positives))
+    share = count / (n1 + n0)
+    return F.abs(pos / n1 - (count - pos) / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
 
 
 def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> DataFrame:
@@ -211,7 +220,7 @@ def score(docs: DataFrame, model: Chain, names: tuple[str, ...] = CHAIN) -> Data
     have no feature and get the models' base rates. All rows stay; columns of
     these names are replaced."""
     added = [f"p_{n}" for n in names]
-    keep = [c for c in docs.columns if c not in added]
+    keep = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
     at = keep.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(a, T.DoubleType()) for a in added]])
