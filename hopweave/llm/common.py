@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import math
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -14,16 +16,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that one task of a shuffle of known size takes.
+TASK_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder made, and removed when the interpreter ends.
+    Only where that setting is absent and the master is this machine (tests) is a
+    temporary folder made, and removed when the interpreter ends.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="hopweave-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set(CHECKPOINT_KEY, root)
@@ -32,23 +39,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again: cuts
-    lineage, survives lost executors and is computed once."""
+    lineage, survives lost executors and is computed once. The job's shuffle files
+    go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    # shuffle files of the finished job go once the JVM sees that nothing refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``written`` made and that no later step reads."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made and that no later step reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(spark: SparkSession, n_bytes: int) -> int:
+    """Tasks for a shuffle of so many bytes: the session's number while parts of that
+    number are not small, more where they would be large."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(n_bytes / TASK_BYTES), min(n, math.ceil(n_bytes / (TASK_BYTES >> 4))))
+
+
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, longer where a column is called so already (in any letter case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,12 +108,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if not mark[0]:
             break
         both = star.union(star.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written first, so that Spark may split the rows of a node of any degree in the join
+        low = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "lows")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        forget(star, low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        old, star = star, written(small.distinct(), "edges")
-        forget(old)
+        star = written(small.distinct(), "edges")
+        forget(large, low)
         old_mark, mark = mark, _signature(star)
         if mark == old_mark:
             break
