@@ -18,9 +18,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopweave.llm.common import forget, union_all, written
+
 #: Share of an item's characters that may be edited.
 RATE = 0.05
-#: Characters of items that one automaton holds; a larger benchmark is taken in blocks of that size.
+#: Characters of items that one automaton, and so one broadcast, holds, about; a larger benchmark is taken in
+#: blocks of that size, one after the other.
 BLOCK_CHARS = 4_000_000
 
 
@@ -104,17 +107,17 @@ class Matcher:
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of bounded size, streamed to the driver one at a time."""
-    block, size = [], 0
-    for row in items.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        t = normal(row[1])
-        block.append((row[0], t))
-        size += len(t)
-        if size >= BLOCK_CHARS:
+    """The items, normalised and without blank ones, in blocks of about BLOCK_CHARS characters, fetched
+    one at a time. Sizes are measured in Spark first; items are dealt by a hash."""
+    spark = items.sparkSession
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.trim("text") != "")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-size // BLOCK_CHARS)
+    for i in range(n):
+        part = rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i) if n > 1 else rows
+        block = [(r[0], normal(r[1])) for r in part.collect()]
+        if block:
             yield block
-            block, size = [], 0
-    if block:
-        yield block
 
 
 #: The automaton of a worker, by the name of the block it was made from.
@@ -135,33 +138,53 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     Items that are null or blank match nothing; null and empty texts have no
     match; repeated rows match each for itself; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, many = docs.sparkSession, []
     schema = "doc_id long, item_id long, edits int, end long"
-    out = spark.createDataFrame([], schema)
-    for block in blocks(items):
-        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def found(shared: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = _matcher(name, shared, rate)
             for batch in batches:
                 rows = [(d, m.items[j][0], e, end) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for j, e, end in m.match(normal(t.as_py()))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "item_id", "edits", "end"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    return out
+        return rows.mapInArrow(run, schema)
+
+    shared = None
+    for block in blocks(items):
+        if shared is not None:  # the block before is not the last: its matches are written, and it goes
+            many.append(written(found(shared), "matches"))
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+    last = spark.createDataFrame([], schema) if shared is None else found(shared)
+    return union_all([*many, last])
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """``docs`` without the rows in which an item occurs; columns and all other rows stay."""
-    at = docs.columns.index("text")
-    for block in blocks(items):
-        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    spark, at, columns = docs.sparkSession, docs.columns.index("text"), docs.schema
+
+    def kept(docs: DataFrame, shared: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = _matcher(name, shared, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not m.match(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, columns)
+
+    shared, old = None, None
+    for block in blocks(items):
+        if shared is not None:
+            docs = written(kept(docs, shared), "clean")
+            shared.destroy()
+            if old is not None:
+                forget(old)
+            old = docs
+        shared = spark.sparkContext.broadcast(block)
+    return docs if shared is None else kept(docs, shared)

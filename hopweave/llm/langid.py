@@ -134,7 +134,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     does when nothing was learned. Whole texts are read, of any length.
     Existing columns of these two names are replaced; all rows stay.
     """
-    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = keep.index(text)

@@ -384,10 +384,10 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
     alternatives array<array<int>> (ids of those behind the best, in the same order).
 
     Null and empty texts have no ids, a null score and empty lists. All rows
-    stay; columns of these names are replaced; whole texts of any length are
+    stay; columns of these names (in any letter case) are replaced; whole texts of any length are
     encoded.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "best_score", "n_best", "alternatives")]
+    keep = [c for c in docs.columns if c.lower() not in ("ids", "best_score", "n_best", "alternatives")]
     at = keep.index(text)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_score", T.DoubleType()), T.StructField("n_best", T.ArrayType(T.DoubleType())), T.StructField("alternatives", T.ArrayType(T.ArrayType(T.IntegerType())))])

@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopweave.llm.common import free_name
+
 #: A fixed bound: the broadcast table has this many rows at most.
 MAX_SLOTS = 1 << 20
 
@@ -61,12 +63,12 @@ def place(df: DataFrame, key: str, n_shards: int = 32, n_slots: int = 4099) -> D
 
     A null key counts as the empty string; equal keys always share a shard;
     row order and repeated rows are kept as they are; an empty table gives an
-    empty result. Columns of ``df`` already called ``slot`` or ``shard`` are
-    replaced.
+    empty result. Columns of ``df`` already called ``slot`` or ``shard`` (in any
+    letter case) are replaced; if the key is called so, it stays as ``<name>_key``.
     """
-    df = df.drop(*[c for c in ("slot", "shard") if c in df.columns and c != key])
-    if key in ("slot", "shard"):
-        df = df.withColumnRenamed(key, f"{key}_key")
-        key = f"{key}_key"
+    df = df.drop(*[c for c in df.columns if c.lower() in ("slot", "shard") and c != key])
+    if key.lower() in ("slot", "shard"):
+        name = free_name(df.columns, f"{key}_key")
+        df, key = df.withColumnRenamed(key, name), name
     keyed = df.withColumn("slot", slot_of(F.col(f"`{key}`"), n_slots))
     return keyed.join(F.broadcast(slot_table(df.sparkSession, n_shards, n_slots)), "slot").select(*[keyed[f"`{c}`"] for c in df.columns], "slot", "shard")

@@ -77,3 +77,21 @@ def test_frame_has_the_alternatives(spark):
         assert len(r.alternatives) == max(0, len(r.n_best) - 1)
         assert all(pieces.decode(v, np.array(x)) == (r.text or "") and x != r.ids for x in r.alternatives)
     assert all(r.round_trip and len(r.other_crc32) == len(set(r.other_crc32)) == len(r.other_pieces) == max(0, len(r.n_best) - 1) for r in pieces.digests(rows, PIECES).collect())
+
+
+def test_ties_are_settled_alike_at_every_length(solver, monkeypatch):
+    """Segments of equal letters have many segmentations of one score; 48 and 49 characters go the same way."""
+    words = ["▁" + "a" * 47, "▁" + "a" * 48, "▁" + "abab" * 11 + "aba", "▁" + "abab" * 12, "▁" + "xyzzy" * 8, "▁" + "=" * 30, "ßé" * 20]
+    for wide in (5, 48, 60):
+        monkeypatch.setattr(pieces, "WIDE", wide)
+        one = pieces.Solver(solver.v)
+        one.learn(list(words))
+        got = [(one.ids[one.at[w]], float(np.concatenate(one.score)[one.at[w]]), float(np.concatenate(one.gap)[one.at[w]])) for w in words]
+        want = want if wide > 5 else got
+        assert got == want
+
+
+def test_clashing_names_and_letter_case(spark):
+    df = spark.createDataFrame([(1, "some text", "x", "y")], "doc_id long, text string, IDS string, N_Best string")
+    out = pieces.encode(df, PIECES, 2)
+    assert out.columns == ["doc_id", "text", "ids", "best_score", "n_best", "alternatives"] and len(out.first().ids)

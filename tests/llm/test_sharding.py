@@ -46,3 +46,10 @@ def test_place(spark):
     assert out.count() == 53 and sharding.place(df.limit(0), "doc_id").count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
     assert sharding.place(df, "shard", 5, 101).columns[-2:] == ["slot", "shard"]
+
+
+def test_clashing_names_and_letter_case(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id long, Slot string, SHARD string")
+    assert sorted(r.slot for r in sharding.place(df, "doc_id", 5, 101).collect()) == sorted(r.slot for r in sharding.place(df.select("doc_id"), "doc_id", 5, 101).collect())
+    out = sharding.place(df, "Slot", 5, 101)
+    assert out.columns == ["doc_id", "Slot_key", "slot", "shard"] and sorted(r.Slot_key for r in out.collect()) == ["x", "y"]
