@@ -91,3 +91,40 @@ def test_prefix_choice_is_complete():
             l, p = jaccard.choose(np.array([freq[x] for x in order], np.uint32), n, 80)
             pre.append((l, set(order[:p])))
         assert len(pre[0][1] & pre[1][1]) >= min(pre[0][0], pre[1][0])
+
+
+@pytest.mark.parametrize("part_bytes", [64, 1])
+def test_parts_of_several_levels(spark, monkeypatch, part_bytes):
+    """More parts than one level deals by: the same frequencies, no part over its share."""
+    monkeypatch.setattr(jaccard, "LEVEL_BITS", 8)
+    monkeypatch.setattr(jaccard, "PART_BYTES", part_bytes)
+    texts = corpus(5)
+    assert jaccard.bits_for(sum(len(t or "") for t in texts)) > 8
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85).collect())
+    assert got == sorted(brute(range(len(texts)), texts, 4, 85))
+
+
+def test_packets_are_exact():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2)
+    whole = jaccard.Packet(np.array([7 << 33]), np.array([500]), np.sort(rng.integers(0, 90, 500)), tokens)
+    again = []
+    for part, packet in whole.dealt(9):
+        back = jaccard.Packet.joined([packet.packed(), packet.packed()], part >> 1)
+        assert (back.token >> np.uint64(55) == part).all() and back.count.tolist() == [len(packet.token)] * 2
+        again += [(int(t), int(w)) for t, w in zip(packet.token, packet.who, strict=True)]
+    assert sorted(again) == sorted(zip(tokens.tolist(), whole.who.tolist(), strict=True))
+
+
+def test_bits_follow_the_size():
+    assert jaccard.bits_for(0) == 8 and jaccard.bits_for(1 << 40) == 17
+
+
+def test_clashing_names_and_letter_case(spark):
+    rows = [(1, "a b c d e f", "x", "r"), (2, "a b c d e f", "y", "s"), (3, "g", "z", "t")]
+    for names in ("_key string, _row string", "key string, row string", "KEY string, Row string", "class string, times string"):
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+        kept = jaccard.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
