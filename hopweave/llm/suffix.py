@@ -7,15 +7,17 @@ is its anchor, and equal windows have it at the same place. Suffixes from
 anchors whose string occurs once need no sorting. The others are brought together
 by that string, reduced to distinct surroundings (``LEFT`` bytes before, LENGTH
 behind), and deep-shallow sorted: multikey quicksort, eight bytes a key, to a
-shallow depth, then a blind trie for each group that is still equal. Common prefixes
-r of the sorted suffixes and common suffixes l of what stands before them give all
-repeated windows: those within [-l, r) of an anchor wherever l + r >= LENGTH.
-
-Surroundings that occur twice as a whole need no partner. A group of more than
-``GROUP`` different surroundings isn't gathered in a task: the places a window may
-have around the anchor are halved again and again, and counts of what all
-windows of a half have in common, or span, settle most halves at once; all of it
-counts by key, combined map-side, so the work is linear in the group.
+shallow depth, then a blind trie for each group that is still equal. The strings before
+the anchors, read backwards, are sorted in the same way. A window that starts o bytes
+before its anchor is repeated if another surrounding is in the same run of common
+prefixes of LENGTH - o bytes in the one order and of o bytes in the other.
+
+Surroundings that are equal as a whole are one row with a count before they are sorted.
+The rows are dealt to tasks by ranges of (string, bytes behind the anchor), so a string
+on any number of rows is sorted in as many tasks as it takes. What such a cut could hide
+are windows whose run reaches the border of a task. They are sorted again, dealt by the
+bytes before the anchor, and only windows whose runs reach a border in both orders
+are left to be counted by their bytes, each distinct one once a task.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import distinct_texts, forget, prefix_hash, span_hash, text_key, union_all, written
+from hopweave.llm.common import distinct_texts, forget, free_name, prefix_hash, span_hash, tasks_for, text_key, union_all, written
 
 LENGTH, GRAM = 200, 50
 LEFT = LENGTH - GRAM
-GROUP = 64
+#: Rows that are sorted at a time, whole groups.
+ROWS = 8192
 #: Bytes a kernel pass takes.
-PASS = 1 << 19
+PASS = 1 << 17
 #: Depth of the quicksort in bytes; the anchor's own GRAM bytes are equal anyway.
 SHALLOW = 112
 
@@ -171,39 +174,44 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return order
 
 
-def covered(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cover): the sorted order and, in it, which of the LEFT + LENGTH bytes
-    around each anchor a repeated window covers.
+def common_prefixes(group: np.ndarray, rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row with the one before it in ``order``; 0 at a group's first."""
+    out = np.zeros(len(order), np.int64)
+    differ = rows[order[1:]] != rows[order[:-1]]
+    out[1:] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    out[1:][group[order[1:]] != group[order[:-1]]] = 0
+    return out
+
+
+def repeated(group: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Which windows are repeated within their group: a row of flags for each surrounding, by
+    how many bytes before the anchor a window starts; and both orders with their common prefixes.
 
     ``left`` holds the bytes before an anchor, nearest first, ``right`` those from
-    it on; beyond n_left and n_right they are padding."""
-    order = deep_shallow(group, right)
-    g, lt, rt, nl, nr = group[order], left[order], right[order], n_left[order], n_right[order]
-    n = len(order)
-    cover = np.zeros((n, LEFT + LENGTH + 1), np.int16)
-
-    def shared(x: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        differ = x[i] != x[j]
-        return np.minimum(np.where(differ.any(1), differ.argmax(1), x.shape[1]), bound)
-
-    i = np.flatnonzero(g[1:] == g[:-1])
-    lcp = np.zeros(n, np.int64)  # with the one before it
-    lcp[i + 1] = shared(rt, i, i + 1, np.minimum(nr[i], nr[i + 1]))
-    r, d = lcp[i + 1], 1
-    while len(i):
-        j = i + d
-        ll = shared(lt, i, j, np.minimum(nl[i], nl[j]))
-        hit = ll + r >= LENGTH
-        for k in (i[hit], j[hit]):
-            np.add.at(cover, (k, LEFT - ll[hit]), 1)
-            np.add.at(cover, (k, LEFT + r[hit]), -1)
-        d += 1
-        more = i + d < n
-        i, r = i[more], r[more]
-        more = g[i + d] == g[i]
-        i, r = i[more], r[more]
-        r = np.minimum(r, lcp[i + d])
-    return order, np.cumsum(cover, 1)[:, :-1] > 0
+    it on, padded; windows from ``first`` to ``last`` have no padding."""
+    n = len(group)
+    by_right, by_left = deep_shallow(group, right), deep_shallow(group, left)
+    r, l = common_prefixes(group, right, by_right), common_prefixes(group, left, by_left)  # noqa: E741
+    at_right, at_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    at_right[by_right], at_left[by_left] = np.arange(n), np.arange(n)
+    most_right, most_left = np.maximum(r, np.append(r[1:], 0))[at_right], np.maximum(l, np.append(l[1:], 0))[at_left]
+    lo, hi = np.maximum(first, LENGTH - most_right), np.minimum(last, most_left)
+    out = np.zeros((n, LEFT + 1), bool)
+    live = np.flatnonzero(lo <= hi)
+    if len(live):
+        lo, hi, at_right, at_left = lo[live], hi[live], at_right[live], at_left[live]
+        for o in range(int(lo.min()), int(hi.max()) + 1):
+            here = np.flatnonzero((lo <= o) & (o <= hi))
+            if len(here) > 1:
+                # windows are equal where both runs are
+                key = np.cumsum(r < LENGTH - o)[at_right[here]] * (n + 1) + np.cumsum(l < o)[at_left[here]]
+                order = np.argsort(key)
+                same = key[order][1:] == key[order][:-1]
+                hit = np.zeros(len(here), bool)
+                hit[1:] |= same
+                hit[:-1] |= same
+                out[live[here[order[hit]]], o] = True
+    return out, (by_right, r), (by_left, l)
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,78 +238,114 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for t, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             raw = t.as_buffer().to_pybytes()
-            rows = [(p["h"], p["c1"], p["c2"], p["n"], p["size"], min(LEFT, p["at"]), raw[max(0, p["at"] - LEFT) : p["at"] + LENGTH]) for p in places]
-            yield pa.RecordBatch.from_pylist([dict(zip(("h", "c1", "c2", "n", "size", "left", "bytes"), r, strict=True)) for r in rows], pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("left", pa.int32()), ("bytes", pa.binary())]))
-
-
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by h; whole groups are sorted a few thousand rows at a time."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        h, nl = t.column("h").to_numpy(), t.column("left").to_numpy().astype(np.int64)
-        raw = t.column("bytes").to_pylist()
-        left, right = np.zeros((len(raw), LEFT), np.uint8), np.zeros((len(raw), LENGTH), np.uint8)
-        for i, (b, k) in enumerate(zip(raw, nl.tolist(), strict=True)):
-            x = np.frombuffer(b, np.uint8)
-            left[i, :k] = x[:k][::-1]
-            right[i, : len(x) - k] = x[k:]
-        nr = np.array([len(b) for b in raw]) - nl
-        order, cover = covered(np.unique(h, return_inverse=True)[1], left, right, nl, nr)
-        row, start, end = runs(cover)
-        at = order[row]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], t.column("c1").to_numpy()[at], t.column("c2").to_numpy()[at], start - LEFT, end - LEFT)], ["h", "c1", "c2", "lo", "hi"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= 4096:
-            t = pa.Table.from_batches(held).combine_chunks()
-            h = t.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
-            if cut:
-                yield solve(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-    if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        if t.num_rows:
-            yield solve(t)
-
-
-def _narrowed(big: DataFrame) -> DataFrame:
-    """Repeated windows of large groups: (h, c1, c2, lo, hi).
-
-    A node is a surrounding and a dyadic range of places, o1 to o2 bytes before the
-    anchor. ``inner`` is what all its windows have in common: alone with it, none
-    is repeated. ``whole`` is what they span: sharing it, all are. Rows that are
-    settled (not ``live``) stay as partners, one for each ``whole``, while their
-    ``inner`` has a live row.
-    """
-    nodes = big.select("h", "c1", "c2", "n", "left", "bytes", (F.col("n") == 1).alias("live"), F.greatest(F.lit(0), LENGTH - F.length("bytes") + F.col("left")).alias("first"), F.least(F.lit(LEFT), F.col("left")).alias("last"), F.lit(0).alias("b"))
-    cols, done, last = nodes.columns, [], None
-    for j in range(LEFT.bit_length(), -1, -1):
-        size = 1 << j
-        o1, o2 = F.col("b") * size, F.col("b") * size + (size - 1)
-        part = lambda before, n: F.md5(F.concat(F.substring("bytes", F.col("left") - before + 1, F.lit(n)), F.format_string("|%d|%d", "h", "b").cast("binary")))
-        inner = F.col("h").cast("string") if size > LENGTH - GRAM else part(o1, LENGTH - size + 1)
-        whole = F.when((o2 <= F.col("last")) & (o1 >= F.col("first")), part(o2, LENGTH + size - 1)).otherwise(F.concat_ws("|", "h", "c1", "c2", "b"))
-        nodes = written(nodes.where((o1 <= F.col("last")) & (o2 >= F.col("first"))).withColumn("inner", inner).withColumn("whole", whole), "nodes")
-        if last is not None:
-            forget(last)
-        kept = nodes.groupBy("inner").agg(F.sum("n").alias("m"), F.max("live").alias("some")).where("m > 1 and some").select("inner")
-        spans = nodes.groupBy("whole").agg(F.sum("n").alias("all"))
-        alive = written(nodes.join(kept, "inner", "left_semi").join(spans, "whole"), "alive")
-        forget(nodes)
-        last = alive
-        inside = (o2 <= F.col("last")) & (o1 >= F.col("first"))
-        settles = ~F.col("live") | (inside & (F.col("all") > 1))
-        done.append(written(alive.where(F.col("live") & settles).select("h", "c1", "c2", (-o2).cast("long").alias("lo"), (LENGTH - o1).cast("long").alias("hi")), "hits"))
-        rest = alive.where(~settles)
-        if not j or rest.isEmpty():
-            break
-        one = alive.where(settles).groupBy("whole").agg(F.max("all").alias("n"), *[F.first(c).alias(c) for c in cols if c not in ("n", "live")]).withColumn("live", F.lit(False))
-        nodes = rest.select(*cols).unionByName(one.select(*cols)).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("b", F.col("b") * 2 + F.col("half")).drop("half")
-    forget(last)
-    return union_all(done)
+            before = [raw[max(0, p["at"] - LEFT) : p["at"]][::-1] for p in places]
+            behind = [raw[p["at"] : p["at"] + LENGTH] for p in places]
+            ids = [pa.array([p[c] for p in places], pa.int64()) for c in ("h", "c1", "c2")]
+            first, last = [pa.array(x, pa.int32()) for x in ([LENGTH - len(b) for b in behind], [len(b) for b in before])]
+            yield _swept(*ids, first, last, before, behind)
+
+
+SWEPT = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("before", pa.binary()), ("behind", pa.binary()), ("done", pa.binary())])
+SWEPT_SQL = "kind int, h long, c1 long, c2 long, lo int, hi int, before binary, behind binary, done binary"
+#: Kinds of rows: bytes lo to hi around an anchor are repeated; windows that start lo to hi bytes
+#: before the anchor are open; the window whose digest is ``before``, starting lo bytes before its
+#: anchor, is open (c1, c2 null: known to be repeated, but a partner of others).
+HIT, OPEN, WINDOW = 0, 1, 2
+
+
+def _swept(h, c1, c2, lo, hi, before=None, behind=None, done=None, kind: int = OPEN) -> pa.RecordBatch:
+    n = len(h)
+    given = [[kind] * n, h, c1, c2, lo, hi, before, behind, done]
+    return pa.RecordBatch.from_arrays([pa.array([None] * n if x is None else x, f.type) if not isinstance(x, pa.Array) else x for x, f in zip(given, SWEPT, strict=True)], schema=SWEPT)
+
+
+def _sweep(by_left: bool):
+    """Rows come by h, a partition being a range of (h, bytes on the side it is dealt by). Whole groups
+    are sorted, a few thousand rows at a time; a partition's first and last group may go on in others."""
+
+    def solve(t: pa.Table, low_edge: bool, high_edge: bool) -> Iterator[pa.RecordBatch]:
+        h, c1, c2, first, last = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "lo", "hi"))
+        before, behind = t.column("before").to_pylist(), t.column("behind").to_pylist()
+        n = len(h)
+        left = np.frombuffer(b"".join([b.ljust(LEFT, b"\0") for b in before]), np.uint8).reshape(n, LEFT)
+        right = np.frombuffer(b"".join([b.ljust(LENGTH, b"\0") for b in behind]), np.uint8).reshape(n, LENGTH)
+        group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
+        hit, (by_right, r), (by_left_, l) = repeated(group, left, right, first, last)  # noqa: E741
+        done = hit.copy()
+        for i, d in enumerate(t.column("done").to_pylist()):
+            if d is not None:
+                done[i] |= np.unpackbits(np.frombuffer(d, np.uint8), count=LEFT + 1).astype(bool)
+        row, start, end = runs(hit)
+        if len(row):
+            yield _swept(h[row], c1[row], c2[row], (1 - end).astype(np.int32), (LENGTH - start).astype(np.int32), kind=HIT)
+        # how much each row of a group that is cut here has in common with the row at the border
+        order, lcp, width = (by_left_, l, LEFT) if by_left else (by_right, r, LENGTH)
+        reach = np.full(n, -1)
+        if low_edge:
+            k = int(np.searchsorted(group, 0, "right"))
+            reach[order[:k]] = np.minimum.accumulate(np.concatenate(([width], lcp[1:k])))
+        if high_edge:
+            k = int(np.searchsorted(group, group[-1]))
+            back = np.minimum.accumulate(np.concatenate(([width], lcp[k + 1 :][::-1])))[::-1]
+            reach[order[k:]] = np.maximum(reach[order[k:]], back)
+        lo, hi = (first, np.minimum(last, reach)) if by_left else (np.maximum(first, LENGTH - reach), last)
+        rest = np.flatnonzero((reach >= 0) & (lo <= hi))
+        if not len(rest):
+            return
+        if not by_left:
+            for a in range(0, len(rest), ROWS):
+                i = rest[a : a + ROWS]
+                yield _swept(h[i], c1[i], c2[i], lo[i].astype(np.int32), hi[i].astype(np.int32), [before[x] for x in i], [behind[x] for x in i], [np.packbits(done[x]).tobytes() for x in i])
+            return
+        at_right, at_left = np.empty(n, np.int64), np.empty(n, np.int64)
+        at_right[by_right], at_left[by_left_] = np.arange(n), np.arange(n)
+        for o in range(int(lo[rest].min()), int(hi[rest].max()) + 1):
+            here = rest[(lo[rest] <= o) & (o <= hi[rest])]
+            if not len(here):
+                continue
+            key = np.cumsum(r < LENGTH - o)[at_right[here]] * (n + 1) + np.cumsum(l < o)[at_left[here]]
+            i = here[np.unique(key, return_index=True)[1]]
+            own = ~done[i, o]  # such a window is the only one of its kind here
+            digest = [hashlib.md5(before[x][:o][::-1] + behind[x][: LENGTH - o]).digest() for x in i]
+            yield _swept(h[i], pa.array(c1[i], mask=~own), pa.array(c2[i], mask=~own), [o] * len(i), [o] * len(i), digest, kind=WINDOW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        whole, size = True, 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                h = t.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
+                if cut:
+                    yield from solve(t.slice(0, cut), whole, False)
+                    whole = False
+                held = t.slice(cut).to_batches()
+                size = t.num_rows - cut
+        if size:
+            yield from solve(pa.Table.from_batches(held).combine_chunks(), whole, True)
+
+    return run
+
+
+SAMPLE_KEY = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+
+
+def sweep(near: DataFrame, by_left: bool) -> DataFrame:
+    """A written table of what a sort of all open rows in one order finds and leaves open."""
+    spark = near.sparkSession
+    size = near.agg(F.coalesce(F.sum(F.length("before") + F.length("behind") + 64), F.lit(0))).first()[0]
+    # the hash at the end lets ranges part rows that are equal on this side
+    dealt = near.repartitionByRange(tasks_for(spark, 2 * size), "h", "before" if by_left else "behind", "c2")
+    # the keys are long: a smaller sample of them goes to the driver
+    usual = spark.conf.get(SAMPLE_KEY)
+    spark.conf.set(SAMPLE_KEY, "20")
+    try:
+        return written(dealt.sortWithinPartitions("h").mapInArrow(_sweep(by_left), SWEPT_SQL), "swept")
+    finally:
+        spark.conf.set(SAMPLE_KEY, usual)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -311,36 +355,34 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     # written, so that a string on a large share of all rows can be split over tasks in the join
     often = written(found.groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "often")
     rows = written(found.join(often, "h"), "repeated")
-    forget(found)
-    forget(often)
+    forget(found, often)
     kinds = written(rows.where("mixed").groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("place")), "kinds")
-    sizes = kinds.groupBy("h").agg(F.count("*").alias("size"))
-    places = kinds.join(sizes, "h").where("size > 1").select(F.col("place.uid").alias("uid"), F.struct(F.col("place.at").alias("at"), "h", "c1", "c2", "n", "size").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("ps"))
-    near = texts.select("uid", F.col("text").cast("binary").alias("text")).join(places, "uid").select("text", "ps").mapInArrow(_surroundings, "h long, c1 long, c2 long, n long, size long, left int, bytes binary")
-    near = written(near, "surroundings")
-    small = near.where(F.col("size") <= GROUP).drop("size")
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = [small.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sorted_groups, "h long, c1 long, c2 long, lo long, hi long")]
-    big = near.where(F.col("size") > GROUP).drop("size")
-    if not big.isEmpty():
-        parts.append(_narrowed(big))
-    spans = written(union_all(parts).groupBy("h", "c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    forget(near)
+    places = kinds.select(F.col("place.uid").alias("uid"), F.struct(F.col("place.at").alias("at"), "h", "c1", "c2").alias("p")).groupBy("uid").agg(F.collect_list("p").alias("ps"))
+    near = written(texts.select("uid", F.col("text").cast("binary").alias("text")).join(places, "uid").select("text", "ps").mapInArrow(_surroundings, SWEPT_SQL), "surroundings")
     # surroundings that occur twice are repeated as a whole, and so are all of a string that has one kind of them
     again = written(kinds.where("n > 1").select("h", "c1", "c2", F.lit(True).alias("again")), "again")
     forget(kinds)
+    right = sweep(near, False)
+    forget(near)
+    left = sweep(right.where(F.col("kind") == OPEN), True)
+    windows = left.where(F.col("kind") == WINDOW)
+    many = windows.groupBy("lo", "before").agg(F.count("*").alias("n")).where("n > 1")
+    rest = windows.where("c1 is not null").join(many, ["lo", "before"], "left_semi").select("h", "c1", "c2", (-F.col("lo")).alias("lo"), (LENGTH - F.col("lo")).alias("hi"))
+    hits = union_all([t.where(F.col("kind") == HIT).select("h", "c1", "c2", "lo", "hi") for t in (right, left)] + [rest])
+    spans = written(hits.groupBy("h", "c1", "c2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    forget(right, left)
     mixed = rows.where("mixed").join(again, ["h", "c1", "c2"], "left")
     whole = rows.where("not mixed").select("uid", "at").unionByName(mixed.where("again").select("uid", "at"))
     whole = whole.select("uid", F.greatest(F.lit(0), F.col("at") - LEFT).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     some = mixed.where("again is null").join(spans, ["h", "c1", "c2"]).select("uid", "at", F.explode("spans").alias("s")).select("uid", (F.col("at") + F.col("s.lo")).alias("lo"), (F.col("at") + F.col("s.hi")).alias("hi"))
     out = written(whole.unionByName(some).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "covered")
-    for t in (rows, spans, again):
-        forget(t)
+    forget(rows, spans, again)
     return out
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """Distinct texts with what stays of them: (key, kept binary, n_bytes, n_removed, n_spans).
+def cut(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """Distinct texts with what stays of them: (key, kept binary, n_bytes, n_removed, n_spans);
+    with ``whole_characters`` bytes of characters that a cut splits are left out of ``kept``.
 
     Null counts as empty. Texts under LENGTH bytes lose nothing; a text that
     another row repeats, of any doc_id, loses everything if it has LENGTH bytes.
@@ -362,7 +404,8 @@ def cut(docs: DataFrame) -> DataFrame:
                     np.add.at(step, lo.values.to_numpy(), 1)
                     np.add.at(step, np.minimum(hi.values.to_numpy(), len(raw)), -1)
                 dead = np.cumsum(step)[:-1] > 0
-                kept.append(np.frombuffer(raw, np.uint8)[~dead].tobytes())
+                rest = np.frombuffer(raw, np.uint8)[~dead].tobytes()
+                kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
                 sizes.append(len(raw))
                 gone.append(int(dead.sum()))
                 n.append(int((np.diff(dead.astype(np.int8), prepend=0) == 1).sum()))
@@ -383,13 +426,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     A null text stays null. Windows are bytes, so a cut may split a character;
     its broken bytes are left out of the text.
     """
-    kept = cut(docs).select(F.col("key").alias("_key"), "kept", "n_removed")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.as_py().decode("utf-8", "ignore") for k in batch.column(1)], pa.string())], ["_key", "_text"])
-
-    fixed = kept.where("n_removed > 0").select("_key", "kept").mapInArrow(run, "_key binary, _text string")
-    rows = docs.join(fixed, text_key(F.col("text")) == F.col("_key"), "left")
-    new = F.when(F.col("_key").isNotNull(), F.col("_text")).otherwise(F.col("text")).alias("text")
-    return rows.select(*[new if c == "text" else docs[f"`{c}`"] for c in docs.columns])
+    key, new = free_name(docs.columns, "key"), free_name(docs.columns, "new")
+    fixed = cut(docs, whole_characters=True).where("n_removed > 0").select(F.col("key").alias(key), F.col("kept").cast("string").alias(new))
+    rows = docs.withColumn(key, text_key(F.col("text"))).join(fixed, key, "left")
+    text = F.when(F.col(new).isNotNull(), F.col(new)).otherwise(F.col("text")).alias("text")
+    return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])

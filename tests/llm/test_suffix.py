@@ -44,9 +44,10 @@ def corpus(seed, n=60):
     return out + [out[-1], out[8]]
 
 
-@pytest.mark.parametrize(("seed", "group"), [(1, 64), (2, 3)])
-def test_report_equals_brute_force(spark, monkeypatch, seed, group):
-    monkeypatch.setattr(suffix, "GROUP", group)  # 3: most groups go the way of the large ones
+@pytest.mark.parametrize(("seed", "tasks"), [(1, None), (2, 7), (6, 60)])
+def test_report_equals_brute_force(spark, monkeypatch, seed, tasks):
+    if tasks:  # so many that groups are cut between tasks in both orders
+        monkeypatch.setattr(suffix, "tasks_for", lambda *_: tasks)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, "k", i) for i, t in enumerate(texts)], "doc_id long, text string, key string, uid int")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(df).collect()}
@@ -55,6 +56,46 @@ def test_report_equals_brute_force(spark, monkeypatch, seed, group):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def test_windows_of_cut_groups(spark, monkeypatch):
+    """One string before which and behind which few different bytes stand, in all combinations,
+    over more tasks than each side has kinds: most windows are left to the count."""
+    monkeypatch.setattr(suffix, "tasks_for", lambda *_: 50)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghijklm", k=n))
+    middle, before, behind = word(60), [word(150) for _ in range(6)], [word(150) for _ in range(6)]
+    texts = [before[i] + middle + behind[j] + f"{i} {j}" for i in range(6) for j in range(6) if (i + j) % 5]
+    texts += [word(150) + middle + b[:120] + "!" for b in behind]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.report(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
+def test_repeated_equals_pairs():
+    rng = np.random.default_rng(4)
+    n, L, left_n = 80, suffix.LENGTH, suffix.LEFT
+    left, right = (np.repeat(rng.integers(97, 100, (6, k)), 14, 0)[:n].astype(np.uint8) for k in (left_n, L))
+    for m in (left, right):
+        m[:] = m[rng.permutation(n)]
+        m[np.arange(n), rng.integers(0, m.shape[1], n)] = 35
+    right[:, : suffix.GRAM] = 65
+    group = np.sort(rng.integers(0, 3, n))
+    first, last = rng.integers(0, 40, n), rng.integers(90, left_n + 1, n)
+    got = suffix.repeated(group, left, right, first, last)[0]
+    for i in range(n):
+        for o in range(left_n + 1):
+            same = [j for j in range(n) if j != i and group[j] == group[i] and first[j] <= o <= last[j] and (left[j, :o] == left[i, :o]).all() and (right[j, : L - o] == right[i, : L - o]).all()]
+            assert got[i, o] == (first[i] <= o <= last[i] and bool(same))
+
+
+def test_clashing_names_and_letter_case(spark):
+    t = "once more " * 60
+    for names in ("_key string, _text string", "key string, new string", "KEY string, New string"):
+        df = spark.createDataFrame([(1, t, "x", "r"), (2, t + "tail", "y", "s"), (3, "alone", "z", "t")], f"doc_id long, text string, {names}")
+        out = suffix.deduplicate(df)
+        assert out.columns == df.columns
+        assert sorted((r[0], r[2], r[3]) for r in out.collect()) == [(1, "x", "r"), (2, "y", "s"), (3, "z", "t")]
+
+
 def test_deep_shallow_sorts(monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(97, 99, (5, 200)).astype(np.uint8)
