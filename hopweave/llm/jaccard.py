@@ -509,14 +509,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     key, row = free_name(docs.columns, "key"), free_name(docs.columns, "row")
     of = classes(docs, width, percent)
     marked = docs.withColumns({key: text_key(F.col("text")), row: F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])})
-    narrow = marked.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"), F.col(row).alias("row")).join(of, "key")
-    times = narrow.where(F.col("class").isNotNull()).groupBy("class", "none", "id", "key", "row").agg(F.count("*").alias("times"))
-    first = times.groupBy("class").agg(F.min(F.struct("none", "id", "key", "row", "times")).alias("m")).select("m.key", "m.row", "m.times")
-    blank = narrow.where(F.col("class").isNull()).select("key", "row", F.lit(1).cast("long").alias("times")).distinct()
-    stay = written(first.unionByName(blank), "stay")
+    narrow = marked.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"), F.col(row).alias("row"))
+    # one row a text before anything is joined, so that its copies never meet in a task
+    times = narrow.groupBy("key", "none", "id", "row").agg(F.count("*").alias("times"))
+    texts = times.groupBy("key").agg(F.min(F.struct("none", "id", "row", "times")).alias("m")).select("key", "m.*")
+    named = texts.join(of.where(F.col("class").isNotNull()), "key")
+    first = named.groupBy("class").agg(F.min(F.struct("none", "id", "key", "row", "times")).alias("m"))
+    stay = written(first.select("m.key", "m.row", "m.times"), "stay")
     forget(of)
-    kept = marked.join(stay.select(F.col("key").alias(key), F.col("row").alias(row)), [key, row], "left_semi")
+    flag = free_name([*docs.columns, key, row], "stays")
+    blank = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    kept = marked.join(stay.select(F.col("key").alias(key), F.col("row").alias(row), F.lit(True).alias(flag)), [key, row], "left").where(blank | F.col(flag))
     if not stay.where("times > 1").isEmpty():
-        blanks = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
-        kept = kept.where(~blanks).dropDuplicates([key, row]).unionByName(kept.where(blanks))
+        kept = kept.where(~blank).dropDuplicates([key, row]).unionByName(kept.where(blank))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
