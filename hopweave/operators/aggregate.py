@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg}
@@ -11,7 +13,11 @@ AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg":
 def column_count(pairs: DataFrame, target: str, universe: DataFrame, order: str | None = None) -> DataFrame:
     """(target, count int) for every vertex of ``universe``, zeros included; ``order``
     "asc" or "desc" sorts by (count, target), ties in the same direction."""
-    n = pairs.distinct().groupBy(target).agg(F.count("*").alias("n"))
+    return with_zeros(pairs.distinct().groupBy(target).agg(F.count("*").alias("n")), target, universe, order)
+
+
+def with_zeros(n: DataFrame, target: str, universe: DataFrame, order: str | None = None) -> DataFrame:
+    """``column_count`` of counts (target, n) that are there already."""
     out = universe.select(F.col(universe.columns[0]).alias(target)).distinct().join(n, target, "left")
     out = out.select(target, F.coalesce("n", F.lit(0)).cast("int").alias("count"))
     if order is None:
@@ -25,8 +31,11 @@ def row_or(pairs: DataFrame, target: str) -> DataFrame:
     return pairs.select(target).distinct()
 
 
-def group_by(df: DataFrame, key: str, value: str, how: str = "sum", alias: str | None = None) -> DataFrame:
-    """One aggregate by one key; sum, min and max keep the value's type."""
+def group_by(df: DataFrame, key: str, value: str, how: str | Callable[[str], Column] = "sum", alias: str | None = None) -> DataFrame:
+    """One aggregate by one key; sum, min and max keep the value's type. ``how`` may be any
+    function that makes an aggregate Column of the value's name."""
+    if callable(how):
+        return df.groupBy(key).agg(how(value).alias(alias or f"AGG({value})"))
     if how not in AGGREGATES:
         raise ValueError(f"no aggregate {how}")
     agg = AGGREGATES[how](value)

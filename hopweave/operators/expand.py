@@ -36,13 +36,15 @@ def _steps(steps: DataFrame | list[DataFrame], k_max: int) -> list[DataFrame]:
 
 def layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int, path: str = "any") -> list[DataFrame]:
     """Layers 0..k as (s, v); stops early once a layer is empty. ``starts``: distinct ids in column s."""
-    front = stored(starts.select("s", F.col("s").alias("v")), "layer")
-    out = [front]
+    out = [stored(starts.select("s", F.col("s").alias("v")), "layer")]
     for e in _steps(steps, k_max):
-        nxt = out[-1].join(e, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v")).distinct()
+        nxt = out[-1].join(e, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v"))
         if path == "shortest":
-            for seen in out:
-                nxt = nxt.join(seen, ["s", "v"], "left_anti")
+            # pairs met before are told by the same exchange that makes the new ones distinct
+            old = reduce(DataFrame.union, out).withColumn("new", F.lit(False))
+            nxt = nxt.withColumn("new", F.lit(True)).union(old).groupBy("s", "v").agg(F.min("new").alias("new")).where("new").drop("new")
+        else:
+            nxt = nxt.distinct()
         nxt, n = counted(nxt, "layer")
         if not n:
             break
@@ -50,24 +52,40 @@ def layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int, pa
     return out
 
 
+def reached(starts: DataFrame, start: str, steps: DataFrame | list[DataFrame], k_max: int) -> DataFrame:
+    """(v): every vertex within ``k_max`` steps of any start, the starts included. One frontier for
+    all starts, so the work does not depend on how many there are."""
+    out = [stored(starts.select(F.col(start).alias("v")).where("v is not null").distinct(), "reached")]
+    for e in _steps(steps, k_max):
+        old = reduce(DataFrame.union, out).withColumn("new", F.lit(False))
+        nxt = out[-1].join(e, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), F.lit(True).alias("new"))
+        nxt, n = counted(nxt.union(old).groupBy("v").agg(F.min("new").alias("new")).where("new").drop("new"), "reached")
+        if not n:
+            break
+        out.append(nxt)
+    return reduce(DataFrame.union, out)
+
+
 def bit_layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int, path: str = "any") -> tuple[DataFrame, list[DataFrame]]:
     """(numbered starts (s, i), layers as (v, w, bits)); bit i % 64 of word i / 64 is start i."""
     named = stored(starts.select("s").withColumn("i", F.monotonically_increasing_id()), "starts")
     word, bit = F.shiftright("i", 6), F.expr("shiftleft(1L, cast(i & 63 as int))")
     front = named.select(F.col("s").alias("v"), word.alias("w"), bit.alias("bits"))
     out = [stored(front.groupBy("v", "w").agg(F.bit_or("bits").alias("bits")), "layer")]
-    seen = out[0]
     for e in _steps(steps, k_max):
-        nxt = out[-1].join(e, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("v"), "w").agg(F.bit_or("bits").alias("bits"))
+        nxt = out[-1].join(e, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "w", "bits")
         if path == "shortest":
-            old = seen.withColumnRenamed("bits", "old")
-            nxt = nxt.join(old, ["v", "w"], "left").select("v", "w", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+            # one exchange merges the new bits and takes those met before out of them
+            none = F.lit(0).cast("long")
+            old = reduce(DataFrame.union, out).select("v", "w", none.alias("bits"), F.col("bits").alias("old"))
+            both = nxt.withColumn("old", none).union(old).groupBy("v", "w").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+            nxt = both.select("v", "w", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits")).where("bits <> 0")
+        else:
+            nxt = nxt.groupBy("v", "w").agg(F.bit_or("bits").alias("bits"))
         nxt, n = counted(nxt, "layer")
         if not n:
             break
         out.append(nxt)
-        if path == "shortest":
-            seen = seen.union(nxt).groupBy("v", "w").agg(F.bit_or("bits").alias("bits"))
     return named, out
 
 
@@ -88,6 +106,7 @@ def expand(
     distance: str | None = None,
     strategy: str = "auto",
     distinct_starts: bool = False,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """(start, target[, distance]) of walks of k_min to k_max steps from ``starts[start]``.
 
@@ -97,6 +116,8 @@ def expand(
     "min" the least length in range. Start rows are a bag: a start that occurs
     twice has its results twice, unless ``distinct_starts`` says there are none.
     k_min = 0 includes (s, s). Null starts have no result; other columns are dropped.
+    ``targets``: one column of ids; only pairs that end in one are given, and the last
+    step walks no other edges.
     """
     if k_min < 0 or k_max < k_min or path not in ("any", "shortest") or distance not in (None, "all", "min"):
         raise ValueError("0 <= k_min <= k_max; path any or shortest; distance None, all or min")
@@ -104,15 +125,22 @@ def expand(
     base = rows if distinct_starts else rows.distinct()
     if strategy == "auto":
         strategy = "bits" if k_max >= BITS_STEPS and base.limit(BITS_FROM).count() == BITS_FROM else "pairs"
+    if targets is not None:
+        ends = targets.select(F.col(targets.columns[0]).alias("dst")).distinct()
+        by_step = _steps(steps, k_max)
+        steps = [*by_step[:-1], by_step[-1].join(ends, "dst", "left_semi").select("src", "dst")] if by_step else steps
+        end = lambda d: d.join(ends.withColumnRenamed("dst", "v"), "v", "left_semi").select("s", "v")
+    else:
+        end = lambda d: d
     if strategy == "bits":
         named, packed = bit_layers(base, steps, k_max, path)
         if distance is None and path == "any" and k_min < len(packed):
             one = reduce(DataFrame.union, packed[k_min:]).groupBy("v", "w").agg(F.bit_or("bits").alias("bits"))
-            found, got = {}, unpacked(named, one)
+            found, got = {}, end(unpacked(named, one))
         else:
-            found = {k: unpacked(named, b) for k, b in enumerate(packed) if k >= k_min}
+            found = {k: end(unpacked(named, b)) for k, b in enumerate(packed) if k >= k_min}
     elif strategy == "pairs":
-        found = {k: d for k, d in enumerate(layers(base, steps, k_max, path)) if k >= k_min}
+        found = {k: end(d) for k, d in enumerate(layers(base, steps, k_max, path)) if k >= k_min}
     else:
         raise ValueError(f"no strategy {strategy}")
     if strategy == "pairs" or found or k_min >= len(packed):
@@ -146,26 +174,34 @@ def find_shortest(pairs: DataFrame, start: str, target: str, step: DataFrame, ma
     rows = pairs.select(F.col(start).alias("s"), F.col(target).alias("t"))
     asked = stored(rows.where("s is not null and t is not null").distinct(), "asked")
     found = [asked.where("s = t").select("s", "t", F.lit(0).alias("d"))]
-    open_, left = counted(asked.where("s <> t"), "open")
-    seen = [open_.select("s", F.col("s").alias("v")).distinct()]
-    front = seen[0]
+    apart, left = counted(asked.where("s <> t"), "open")
+    # both ends search: side 0 from the starts along the edges, side 1 from the targets against them
+    edges = (step, step.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ends, open_, size = ("s", "t"), apart, [left, left]
+    met = [[apart.select(F.col(e).alias("s"), F.col(e).alias("v")).distinct()] for e in ends]
+    last = [m[0] for m in met]
     for k in range(1, max_hops + 1):
-        if not left:
-            break
-        nxt = front.join(step, F.col("v") == F.col("src")).select("s", F.col("dst").alias("v")).distinct()
-        for old in seen:
-            nxt = nxt.join(old, ["s", "v"], "left_anti")
-        nxt, n = counted(nxt, "layer")
-        if not n:
+        if not left or not all(size):
             break
-        seen.append(nxt)
-        hit = open_.join(nxt, (open_["s"] == nxt["s"]) & (open_["t"] == nxt["v"]), "left_semi")
-        hit, n = counted(hit, "hit")
-        front = nxt
+        side = int(size[1] < size[0])
+        front, old = last[side], reduce(DataFrame.union, met[side]).withColumn("new", F.lit(False))
+        if len(found) > 1:  # ends with nothing left to find go no further
+            busy = open_.select(F.col(ends[side]).alias("s")).distinct()
+            front, old = front.join(busy, "s", "left_semi"), old.join(busy, "s", "left_semi")
+        nxt = front.join(edges[side], F.col("v") == F.col("src")).select("s", F.col("dst").alias("v"), F.lit(True).alias("new"))
+        last[side], size[side] = counted(nxt.union(old).groupBy("s", "v").agg(F.min("new").alias("new")).where("new").drop("new"), "layer")
+        met[side].append(last[side])
+        # a path of k hops has a vertex on the outermost layer of either side
+        a, b = last[0].withColumnRenamed("v", "x"), last[1].select(F.col("s").alias("t"), F.col("v").alias("x"))
+        hit, n = counted(open_.join(a, "s").join(b, ["t", "x"]).select("s", "t").distinct(), "hit")
         if n:
             found.append(hit.select("s", "t", F.lit(k).alias("d")))
-            open_, left = counted(open_.join(hit, ["s", "t"], "left_anti"), "open")
-            # starts with nothing left to find go no further
-            front = nxt.join(open_.select("s").distinct(), "s", "left_semi")
+            left -= n
+            open_ = apart.join(reduce(DataFrame.union, found[1:]).select("s", "t"), ["s", "t"], "left_anti")
+            if left:
+                # an end whose layer is empty by now has no more to find
+                sides = [last[i].join(open_.select(F.col(e).alias("s")).distinct(), "s", "left_semi").select(F.lit(i).alias("side")) for i, e in enumerate(ends)]
+                n_of = {r[0]: r[1] for r in sides[0].union(sides[1]).groupBy("side").count().collect()}
+                size = [n_of.get(0, 0), n_of.get(1, 0)]
     known = reduce(DataFrame.union, found)
     return rows.join(known, ["s", "t"], "left").select(F.col("s").alias(start), F.col("t").alias(target), F.coalesce("d", F.lit(-1)).alias("distance"))

@@ -39,10 +39,11 @@ def mintersect(base: DataFrame, new: str, edges: list[DataFrame]) -> DataFrame:
     """Bind one more variable: rows of ``base`` (a bag) with every x such that (u_i, x)
     is in each edge table (sets; columns u_i and ``new`` in any order).
 
-    The first table proposes, the others test by semi-joins, so no intermediate result
-    exceeds what the first proposes; give the most selective one first."""
+    The table that the optimizer takes for the smallest proposes, the others test by
+    semi-joins, so no intermediate result exceeds what the first proposes."""
     if not edges:
         raise ValueError("at least one edge table")
+    edges = sorted(edges, key=_estimated)
     out = base
     for i, e in enumerate(edges):
         own = [c for c in e.columns if c != new]
@@ -52,6 +53,11 @@ def mintersect(base: DataFrame, new: str, edges: list[DataFrame]) -> DataFrame:
     return out.select(*base.columns, new)
 
 
+def _estimated(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of a table; known sizes for written ones."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def mintersect_count(base: DataFrame, new: str, edges: list[DataFrame]) -> DataFrame:
     return count(mintersect(base, new, edges))
 

@@ -63,6 +63,18 @@ class GraphPlan:
     def find_shortest(self, start: str, target: str, label: str, kind: str, direction: Direction) -> GraphPlan:
         return self._with(ex.find_shortest(self.df.select(start, target), start, target, self.graph.step(Step(label, kind, label, direction))))
 
+    def _within(self, start: str, target: str, label: str, kind: str, direction: Direction, targets: DataFrame, k_min: int, k_max: int) -> GraphPlan:
+        step = self.graph.step(Step(label, kind, label, direction))
+        return self._with(ex.expand(self.df, start, target, step, k_min, k_max, "shortest", targets=targets))
+
+    def vexpand_knows(self, start: str, target: str, targets: DataFrame, k_min: int, k_max: int) -> GraphPlan:
+        """Shortest paths along ``knows`` that end in one of ``targets`` (ids in the first column)."""
+        return self._within(start, target, "Person", "knows", Direction.BOTH, targets, k_min, k_max)
+
+    def vexpand_transfer(self, start: str, target: str, targets: DataFrame, k_min: int, k_max: int) -> GraphPlan:
+        """The same forward along ``transfer``."""
+        return self._within(start, target, "Account", "transfer", Direction.FORWARD, targets, k_min, k_max)
+
     # the rest
     def filter_matrix(self, condition: Column) -> GraphPlan:
         return self._with(joins.pair_filter(self._rows, condition))
@@ -90,7 +102,7 @@ class GraphPlan:
     def sum_group_by(self, key: str, value: str, alias: str | None = None) -> GraphPlan:
         return self.group_by(key, value, "sum", alias)
 
-    def group_by(self, key: str, value: str, how: str, alias: str | None = None) -> GraphPlan:
+    def group_by(self, key: str, value: str, how: str | Callable[[str], Column], alias: str | None = None) -> GraphPlan:
         return self._with(aggregate.group_by(self.df, key, value, how, alias))
 
     def split_flat_by(self, key: str) -> dict[object, DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hopweave.graph import PropertyGraph
 from hopweave.operators.expand import expand
-from hopweave.operators.joins import mintersect, select_targets
+from hopweave.operators.joins import mintersect
 from hopweave.schema import Direction, Step
 from hopweave.storage import stored
 
@@ -132,9 +132,9 @@ class Compiled:
                 a, b, d = b, a, _TURNED.get(d, d)
             va, vb = self.pattern.vertices[a], self.pattern.vertices[b]
             step = self.graph.step(Step(va.label, e.kind, vb.label, d))
-            found = expand(self.ids(a), f"{a}_id", f"{b}_id", step, e.k_min, e.k_max, e.path, strategy=self.strategy, distinct_starts=True)
             # only the last vertex is filtered: those between may be any
-            self._pairs[e] = stored(select_targets(found, f"{b}_id", self.ids(b)), "pairs")
+            found = expand(self.ids(a), f"{a}_id", f"{b}_id", step, e.k_min, e.k_max, e.path, strategy=self.strategy, distinct_starts=True, targets=self.ids(b))
+            self._pairs[e] = stored(found, "pairs")
         return self._pairs[e]
 
     def default_order(self) -> list[str]:

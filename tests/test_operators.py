@@ -148,3 +148,48 @@ def test_neighbour_queries_start_from_all_accounts(spark):
     assert sorted(got) == sorted({(c, o) for o, c in orders})
     got = [tuple(r) for r in QUERIES["expand_neighbor_distance"](spark, d).select("a", "b", "distance").collect()]
     assert sorted(got) == sorted({(x[1], y[1], 1) for x, y in zip(orders[:-1], orders[1:], strict=True)})
+
+
+@pytest.mark.parametrize("strategy", ["pairs", "bits"])
+@pytest.mark.parametrize("path", ["any", "shortest"])
+def test_targets_are_those_of_a_filter_behind(spark, strategy, path):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(70)], "src long, dst long")
+    starts, ends = spark.range(8).toDF("a"), spark.createDataFrame([(i,) for i in (1, 1, 5, 9, 200)], "id long")
+    for k_min, k_max in ((0, 0), (0, 3), (2, 3)):
+        whole = ex.expand(starts, "a", "b", edges, k_min, k_max, path, "all", strategy)
+        got = ex.expand(starts, "a", "b", edges, k_min, k_max, path, "all", strategy, targets=ends)
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in whole.collect() if r.b in (1, 5, 9))
+
+
+def test_reached_is_every_target(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(60)], "src long, dst long")
+    starts = spark.createDataFrame([(1,), (1,), (7,), (None,)], "a long")
+    want = {r.b for r in ex.expand(starts, "a", "b", edges, 0, 3, "shortest").collect()}
+    got = [r.v for r in ex.reached(starts, "a", edges, 3).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_find_shortest_equals_breadth_first(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(110)] + [(i, i + 1) for i in range(100, 120)]
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(3, 3), (100, 107), (100, 108), (100, 120), (107, 100), (3, 999)]
+
+    def hops(s, t):
+        seen, front, k = {s}, {s}, 0
+        while front and k <= 7:
+            if t in front:
+                return k
+            front = {b for a, b in edges if a in front} - seen
+            seen |= front
+            k += 1
+        return -1
+
+    got = ex.find_shortest(spark.createDataFrame(pairs, "a long, b long"), "a", "b", spark.createDataFrame(edges, "src long, dst long").distinct(), 7)
+    assert sorted(map(tuple, got.collect())) == sorted((s, t, hops(s, t)) for s, t in pairs)
+
+
+def test_an_aggregate_of_the_users_own(spark):
+    df = spark.createDataFrame([(1, 5), (1, 9), (2, 4)], "k long, x long")
+    assert sorted(map(tuple, aggregate.group_by(df, "k", "x", lambda c: F.max(c) - F.min(c), "spread").collect())) == [(1, 4), (2, 0)]

@@ -117,3 +117,9 @@ def test_golden_distances(spark):
 def test_column_count_has_zeros(spark):
     rows = QUERIES["column_count"](spark, SMALL).collect()
     assert len(rows) == 150 and any(r["count"] == 0 for r in rows)
+
+
+def test_a_second_condition_is_an_error():
+    with pytest.raises(ValueError, match="condition already"):
+        parse("vmatch (a{tag:0-1})->(b), (a{id:3})->(b) return a;")
+    assert parse("vmatch (a)->(b), (a{id:3})-(c) return a;").pattern.vertices["a"].conditions
