@@ -6,9 +6,10 @@ and paths are shortest where a case study says nothing else.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.functions.filters import VariableFilters
@@ -18,7 +19,8 @@ from hopweave.plans.fluent import GraphPlan
 from hopweave.plans.pattern import Compiled, Pattern
 from hopweave.plans.vql import query
 from hopweave.schema import Direction, Step
-from hopweave.sources import testdata
+from hopweave.sources import readers, sinks, testdata
+from hopweave.storage import shared_dir
 
 COMMUNITY = {"a": 0, "b": 1, "c": 2, "d": 0}
 K_MAX = 2
@@ -138,12 +140,12 @@ def _(g):
     return plan(g).scan("Owner", "a").csr_expand_to_neighbor("a", "b", "Owner", "Account", "own").df
 
 
-@register("expand_neighbor_bwd", sql("SELECT DISTINCT dst AS a, src AS b FROM deposit WHERE dst < 40"))
+@register("expand_neighbor_bwd", sql("SELECT DISTINCT dst AS a, src AS b FROM deposit"))
 def _(g):
     return plan(g).scan("Account", "a").csr_expand_to_neighbor("a", "b", "Account", "Loan", "deposit").df
 
 
-@register("expand_neighbor_distance", sql("SELECT DISTINCT src AS a, dst AS b, 1 AS distance FROM transfer WHERE src < 40"))
+@register("expand_neighbor_distance", sql("SELECT DISTINCT src AS a, dst AS b, 1 AS distance FROM transfer"))
 def _(g):
     return plan(g).scan("Account", "a").csr_expand_to_neighbor("a", "b", "Account", "Account", "transfer", FWD, True).df
 
@@ -176,7 +178,7 @@ def _(g):
 _PAIRS = "SELECT i AS s, CASE WHEN i % 7 = 0 THEN i WHEN i % 5 = 0 THEN -5 ELSE i + 100 END AS t FROM range(20) r(i)"
 
 
-@register("find_shortest", sql("SELECT p.s AS a, p.t AS b, coalesce(min(k), -1)::INT AS distance FROM p LEFT JOIN w ON p.s = w.s AND p.t = w.v GROUP BY 1, 2", f"p AS ({_PAIRS})", walk("w", "SELECT range AS id FROM range(20)", FWD_SQL, 12)))
+@register("find_shortest", sql("SELECT p.s AS a, p.t AS b, coalesce(min(k), -1)::INT AS distance FROM p LEFT JOIN w ON p.s = w.s AND p.t = w.v GROUP BY 1, 2", f"p AS ({_PAIRS})", walk("w", "SELECT range AS id FROM range(20)", FWD_SQL, 50)))
 def _(g):
     i = F.col("a")
     pairs = g.spark.range(20).toDF("a").select("a", F.when(i % 7 == 0, i).when(i % 5 == 0, F.lit(-5)).otherwise(i + 100).cast("long").alias("b"))
@@ -263,7 +265,7 @@ register("count", sql("SELECT count(*) AS count FROM r", _REACH2, _PAIRS2))(lamb
 _REACH1, _PAIRS1 = walk("w", NATION0, FWD_SQL, 1), "r AS (SELECT DISTINCT s AS a, v AS b FROM w WHERE k = 1)"
 _COLUMN = "SELECT id AS b, count(a)::INT AS count FROM account LEFT JOIN r ON id = b GROUP BY 1"
 register("column_count", sql(_COLUMN, _REACH1, _PAIRS1))(lambda g: aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account")))
-register("column_count_asc", sql(f"SELECT *, row_number() OVER (ORDER BY count, b)::INT AS rank FROM (SELECT * FROM ({_COLUMN}) ORDER BY count, b LIMIT 50)", _REACH1, _PAIRS1))(lambda g: joins.ranked(aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account")), "count", "b"))
+register("column_count_asc", sql(f"SELECT *, row_number() OVER (ORDER BY count, b)::INT AS rank FROM ({_COLUMN})", _REACH1, _PAIRS1))(lambda g: joins.ranked(aggregate.column_count(ex.expand(group(g, 0, "a"), "a", "b", step(g)), "b", g.vertices("Account")), "count", "b"))
 register("row_or", sql("SELECT DISTINCT b FROM r", _REACH2, _PAIRS2))(lambda g: aggregate.row_or(reach2(g), "b"))
 
 
@@ -271,8 +273,13 @@ def _balances(g: PropertyGraph) -> DataFrame:
     return joins.fetch_property(g.edges("Loan", "deposit", "Account").select(F.col("src").alias("loan"), F.col("dst").alias("account")), g.vertices("Loan"), "loan", "balance").select("account", "balance")
 
 
-for _how, _expr in (("sum", "sum(balance)::BIGINT"), ("count", "count(balance)"), ("min", "min(balance)"), ("max", "max(balance)"), ("avg", "sum(balance)::DOUBLE / count(balance)")):
-    register(f"group_{_how}", sql(f"SELECT dst AS account, {_expr} AS value FROM deposit JOIN loan ON src = id GROUP BY 1"))(lambda g, how=_how: aggregate.group_by(_balances(g), "account", "balance", how, "value"))
+def _spread(value: str) -> Column:
+    """An aggregate of the user's own."""
+    return F.max(value) - F.min(value)
+
+
+for _how, _expr in (("sum", "sum(balance)::BIGINT"), ("count", "count(balance)"), ("min", "min(balance)"), ("max", "max(balance)"), ("avg", "sum(balance)::DOUBLE / count(balance)"), ("spread", "max(balance) - min(balance)")):
+    register(f"group_{_how}", sql(f"SELECT dst AS account, {_expr} AS value FROM deposit JOIN loan ON src = id GROUP BY 1"))(lambda g, how=_how: aggregate.group_by(_balances(g), "account", "balance", _spread if how == "spread" else how, "value"))
 
 register("source_visit_count", sql("SELECT a, count(*) AS count FROM r GROUP BY 1", _REACH2, _PAIRS2))(lambda g: aggregate.visit_count(reach2(g), "a"))
 register("target_visit_count", sql("SELECT b, count(*) AS count FROM r GROUP BY 1", _REACH2, _PAIRS2))(lambda g: aggregate.visit_count(reach2(g), "b"))
@@ -288,7 +295,7 @@ register("union_layers", sql("SELECT src, dst FROM transfer UNION SELECT src, ds
 register("visited_difference", sql("SELECT src, dst FROM transfer EXCEPT SELECT src, dst FROM withdraw"))(lambda g: joins.difference(*_two_sets(g)))
 register("column_and", sql("SELECT src, dst FROM transfer INTERSECT SELECT src, dst FROM withdraw"))(lambda g: joins.intersection(*_two_sets(g)))
 register("complement", sql("SELECT p.id AS src, q.id AS dst FROM person p, person q WHERE p.community = 0 AND q.community = 1 AND NOT EXISTS (SELECT 1 FROM transfer t WHERE t.src = p.id AND t.dst = q.id)"))(lambda g: joins.complement(_two_sets(g)[0], group(g, 0, "src"), group(g, 1, "dst")))
-register("reorder", sql("SELECT id, community, row_number() OVER (ORDER BY community DESC, id)::INT AS rank FROM (SELECT * FROM person ORDER BY community DESC, id LIMIT 200)"))(lambda g: joins.ranked(g.scan("Person", ["id", "community"]), F.desc("community"), "id"))
+register("reorder", sql("SELECT id, community, row_number() OVER (ORDER BY community DESC, id)::INT AS rank FROM person"))(lambda g: joins.ranked(g.scan("Person", ["id", "community"]), F.desc("community"), "id"))
 register("top_k", sql("SELECT id, balance FROM loan ORDER BY balance DESC, id LIMIT 25"))(lambda g: joins.top_k(g.scan("Loan", ["id", "balance"]), 25, F.desc("balance"), "id"))
 
 
@@ -319,14 +326,15 @@ _IN0 = "v IN (SELECT id FROM person WHERE community = 0)"
 register("e1", sql(f"SELECT count(*) AS count FROM (SELECT DISTINCT s, v FROM w) WHERE {_IN0}", _near("w", 0, 3)))(lambda g: joins.count(near(g, "a", "d", 3)))
 
 
-def _reached(g: PropertyGraph, k: int) -> DataFrame:
-    return ex.expand(group(g, 0, "p"), "p", "q", step(g, "knows", BOTH), 0, k, "shortest", distinct_starts=True)
+def _counts(g: PropertyGraph) -> DataFrame:
+    """How many of community 0 reach each person, on packed words."""
+    return ex.bit_counts(group(g, 0, "p"), "p", step(g, "knows", BOTH), 0, 3, "shortest").withColumnRenamed("v", "q")
 
 
 _CASE2 = "SELECT id AS q, count(s)::INT AS count FROM person LEFT JOIN (SELECT DISTINCT s, v FROM w) ON id = v {} GROUP BY 1"
-register("e2", sql(_CASE2.format(""), _near("w", 0, 3)))(lambda g: aggregate.column_count(_reached(g, 3), "q", g.vertices("Person"), "desc"))
-register("e3", sql(_CASE2.format("WHERE community = 0"), _near("w", 0, 3)))(lambda g: aggregate.column_count(joins.select_targets(_reached(g, 3), "q", group(g, 0), "id"), "q", group(g, 0), "asc"))
-register("e5", sql("SELECT DISTINCT v AS q FROM w", _near("w", 0, 3)))(lambda g: aggregate.row_or(_reached(g, 3), "q"))
+register("e2", sql(_CASE2.format(""), _near("w", 0, 3)))(lambda g: aggregate.with_zeros(_counts(g), "q", g.vertices("Person"), "desc"))
+register("e3", sql(_CASE2.format("WHERE community = 0"), _near("w", 0, 3)))(lambda g: aggregate.column_count(plan(g).scan("Person", "p", F.col("community") == 0).vexpand_knows("p", "q", group(g, 0), 0, 3).df, "q", group(g, 0), "asc"))
+register("e5", sql("SELECT DISTINCT v AS q FROM w", _near("w", 0, 3)))(lambda g: ex.reached(group(g, 0, "p"), "p", step(g, "knows", BOTH), 3).withColumnRenamed("v", "q"))
 _RISK = walk("w", "SELECT range AS id FROM range(20)", FWD_SQL, 3)
 register("e6", sql("SELECT DISTINCT s AS a, v AS b FROM w WHERE v < 20", _RISK))(lambda g: plan(g).inline_vid_range("a", 0, 19).vexpand("a", "b", "Account", "Account", "transfer", 0, 3, FWD, "shortest").filter_exists("b", g.spark.range(20)).df)
 register("e7", sql("SELECT DISTINCT s AS a, v AS b FROM w", _RISK))(lambda g: plan(g).inline_vid_range("a", 0, 19).vexpand("a", "b", "Account", "Account", "transfer", 0, 3, FWD, "shortest").df)
@@ -410,7 +418,7 @@ register("tcr2", sql(_TCR2, walk("w", "SELECT dst AS id FROM own WHERE src = 0",
 register("tcr2_single_point", sql(_TCR2, walk("w", "SELECT 7::BIGINT AS id", BACK_SQL, 3)))(lambda g: _tcr2(g, plan(g).inline_vid("account_id", [7])))
 
 
-@register("tcr3", sql("SELECT p.s AS start, p.t AS target, coalesce(min(k), -1)::INT AS distance FROM p LEFT JOIN w ON p.s = w.s AND p.t = w.v GROUP BY 1, 2", "p AS (SELECT i AS s, i + 100 AS t FROM range(20) r(i))", walk("w", "SELECT range AS id FROM range(20)", FWD_SQL, 12)))
+@register("tcr3", sql("SELECT p.s AS start, p.t AS target, coalesce(min(k), -1)::INT AS distance FROM p LEFT JOIN w ON p.s = w.s AND p.t = w.v GROUP BY 1, 2", "p AS (SELECT i AS s, i + 100 AS t FROM range(20) r(i))", walk("w", "SELECT range AS id FROM range(20)", FWD_SQL, 50)))
 def _(g):
     return plan(g).inline_vid_range("start", 0, 19).merge_flat(plan(g).inline_vid_range("target", 100, 119)).find_shortest("start", "target", "Account", "transfer", FWD).df
 
@@ -434,3 +442,136 @@ _TRI1 = "FROM knows x JOIN knows y ON y.src = x.dst JOIN knows z ON z.src = x.sr
 _VQL = "vmatch (a{tag:0-5})->(b{tag:0-11}), (b)-[1]-(c), (a)-[..1]->(c) return "
 register("vql_triangle_count", sql(f"SELECT count(*) AS count {_TRI1}"))(lambda g: query(g, _VQL + "count of a;"))
 register("vql_projection", sql(f"SELECT a.id AS a_id, b.community AS b_community, c.id AS c_id {_TRI1}"))(lambda g: query(g, _VQL + "a.id, b.community, c;"))
+
+
+# ------------------------------------------------------------ sources and sinks
+#
+# Each writes the graph's tables below the shared folder in a raw format, and reads them back.
+
+
+def _put(df: DataFrame, path: str, sep: str = "|", header: bool = True) -> None:
+    df.write.csv(path, sep=sep, header=header)
+
+
+def _path(g: PropertyGraph, name: str) -> str:
+    return f"{shared_dir(g.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _social_pairs(read: PropertyGraph) -> DataFrame:
+    return joins.fetch_property(read.edges("Person", "knows", "Person").select("src", "dst"), read.vertices("Person"), "src", "name")
+
+
+def _transfers(g: PropertyGraph) -> DataFrame:
+    return g.edges("Account", "transfer", "Account").select("src", "dst")
+
+
+_SOCIAL_PAIRS = sql("SELECT src, dst, substr(name, 1, 16) AS name FROM knows JOIN person ON src = id")
+
+
+@register("read_ldbc_bi", _SOCIAL_PAIRS)
+def _(g):
+    path = _path(g, "ldbc-bi")
+    _put(g.vertices("Person").select("id", F.col("name").alias("firstName"), F.col("community").alias("LocationCityId")).repartition(3), f"{path}/Person")
+    _put(_transfers(g).select(F.lit("x").alias("creationDate"), F.col("src").alias("Person1Id"), F.col("dst").alias("Person2Id")), f"{path}/Person_knows_Person")
+    return _social_pairs(readers.ldbc_bi(g.spark, path, dense=False))
+
+
+@register("read_ldbc_ic", _SOCIAL_PAIRS)
+def _(g):
+    path = _path(g, "ldbc-ic")
+    _put(g.vertices("Person").select("id", F.col("name").alias("firstName"), F.col("community").alias("place")), f"{path}/person_0_0.csv")
+    _put(_transfers(g).select("src", "dst", F.lit("x").alias("since")), f"{path}/person_knows_person_0_0.csv")
+    return _social_pairs(readers.ldbc_ic(g.spark, path, dense=False))
+
+
+@register("read_snap_txt", sql("SELECT src, dst FROM knows"))
+def _(g):
+    path = _path(g, "snap")
+    lines = _transfers(g).select(F.concat_ws("\t", "src", "dst").alias("value")).union(g.spark.createDataFrame([("# a comment",), ("",)], "value string"))
+    lines.write.text(path)
+    return readers.snap_txt(g.spark, path, dense=False).edges("Person", "knows", "Person").select("src", "dst")
+
+
+@register("read_snap_csv", sql("SELECT src, dst FROM knows"))
+def _(g):
+    path = _path(g, "snap")
+    _put(_transfers(g).toDF("node_1", "node_2"), path, ",")
+    return readers.snap_csv(g.spark, path, dense=False).edges("Person", "knows", "Person").select("src", "dst")
+
+
+@register("read_rabo", sql("SELECT a.rank AS src, b.rank AS dst FROM transfer JOIN n a ON src = a.id JOIN n b ON dst = b.id", "n AS (SELECT id, row_number() OVER (ORDER BY 'NL' || id::VARCHAR) - 1 AS rank FROM (SELECT src AS id FROM transfer UNION SELECT dst FROM transfer))"))
+def _(g):
+    path, name = _path(g, "rabo"), lambda c: F.concat(F.lit("NL"), F.col(c))
+    _put(_transfers(g).select(name("src").alias("start_id"), name("dst").alias("end_id"), F.lit(1).alias("count")), path, ";")
+    return readers.rabo(g.spark, path).edges("Account", "transfer", "Account").select("src", "dst")
+
+
+def _finbench(g: PropertyGraph) -> str:
+    path = _path(g, "finbench")
+    ends = {"PersonOwnAccount": ("Owner", "own", "personId", "accountId"), "AccountTransferAccount": ("Account", "transfer", "fromId", "toId"), "AccountWithdrawAccount": ("Account", "withdraw", "fromId", "toId"), "MediumSignInAccount": ("Medium", "signIn", "mediumId", "accountId"), "LoanDepositAccount": ("Loan", "deposit", "loanId", "accountId")}
+    for file, (label, kind, a, b) in ends.items():
+        _put(g.edges(label, kind, "Account").select(F.col("src").alias(a), F.col("dst").alias(b), F.lit(1).alias("amount")), f"{path}/{file}.csv")
+    for file, label, key in (("Person", "Owner", "personId"), ("Account", "Account", "accountId"), ("Medium", "Medium", "mediumId"), ("Loan", "Loan", "loanId")):
+        _put(g.vertices(label).withColumnRenamed("id", key), f"{path}/{file}.csv")
+    return path
+
+
+@register("read_finbench_transfers", sql("SELECT src, dst FROM transfer"))
+def _(g):
+    path = _path(g, "finbench")
+    _put(_transfers(g).select(F.col("src").alias("fromId"), F.col("dst").alias("toId"), F.lit(1).alias("amount")), f"{path}/AccountTransferAccount.csv")
+    return readers.finbench_transfers(g.spark, path, dense=False).edges("Account", "transfer", "Account").select("src", "dst")
+
+
+_KINDS = ("own", "transfer", "withdraw", "signin", "deposit")
+_FINBENCH = " UNION ALL ".join([f"SELECT '{k}' AS kind, src AS a, dst AS b FROM {k}" for k in _KINDS] + ["SELECT 'medium', id, isBlocked::BIGINT FROM medium", "SELECT 'loan', id, balance FROM loan", "SELECT 'account', id, 0 FROM account", "SELECT 'person', n_nationkey::BIGINT, 0 FROM nation"])
+
+
+@register("read_finbench", sql(_FINBENCH))
+def _(g):
+    read = readers.finbench(g.spark, _finbench(g), dense=False)
+    parts = [read.edges("Person" if e.type == "own" else e.source, e.type, e.target).select(F.lit(e.type.lower()).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")) for e in read.schema.edges]
+    for label, prop in (("Medium", F.col("isBlocked")), ("Loan", F.col("balance")), ("Account", F.lit(0)), ("Person", F.lit(0))):
+        parts.append(read.vertices(label).select(F.lit(label.lower()).alias("kind"), F.col("id").alias("a"), prop.cast("long").alias("b")))
+    return joins.reduce(DataFrame.unionByName, parts)
+
+
+@register("read_finbench_params", sql("SELECT 'tcr' || k AS query, id AS id1, CASE WHEN k = 3 THEN id + 1 END AS id2 FROM account, (VALUES (1), (2), (3), (6), (8)) q(k)"))
+def _(g):
+    path = _path(g, "params")
+    for k in (1, 2, 3, 6, 8):
+        _put(g.vertices("Account").select("id", (F.col("id") + 1).alias("id2"), F.lit(0).alias("start"), F.lit(9).alias("end")), f"{path}/complex_{k}_param.csv")
+    rows = [df.select(F.lit(q).alias("query"), F.col(df.columns[0]).alias("id1"), (F.col("id2") if "id2" in df.columns else F.lit(None).cast("long")).alias("id2")) for q, df in readers.finbench_params(g.spark, path).items()]
+    return joins.reduce(DataFrame.unionByName, rows)
+
+
+def _as_social(g: PropertyGraph) -> PropertyGraph:
+    return PropertyGraph(g.spark, readers.SOCIAL, {"Person": g.vertices("Person")}, {"Person_knows_Person": g.edges("Person", "knows", "Person")})
+
+
+@register("save_and_load", sql("SELECT src, dst, name FROM knows JOIN person ON src = id"))
+def _(g):
+    path = _path(g, "native")
+    sinks.native(_as_social(g), path)
+    return _social_pairs(PropertyGraph.load(g.spark, path))
+
+
+@register("write_csv", sql("SELECT src::VARCHAR || ',' || dst AS line FROM knows UNION ALL SELECT id || ',' || name || ',' || community FROM person"))
+def _(g):
+    path = _path(g, "csv")
+    sinks.csv(_as_social(g), path)
+    return g.spark.read.text([f"{path}/Person", f"{path}/Person_knows_Person"]).withColumnRenamed("value", "line")
+
+
+@register("write_label_graph", sql("SELECT src::VARCHAR || ' ' || dst AS line FROM knows UNION ALL SELECT id || ' ' || community FROM person"))
+def _(g):
+    path = _path(g, "label")
+    sinks.label_graph(_as_social(g), path)
+    return g.spark.read.text([f"{path}/edges", f"{path}/vertices"]).withColumnRenamed("value", "line")
+
+
+@register("write_json", sql("""SELECT '[' || id || ',"' || name || '",' || CASE WHEN community = 0 THEN 'null' ELSE community::VARCHAR END || ']' AS line FROM person"""))
+def _(g):
+    path = _path(g, "json")
+    sinks.json_results(g.vertices("Person").select("id", "name", F.nullif(F.col("community"), F.lit(0)).alias("community")), path)
+    return g.spark.read.text(f"{path}/results").withColumnRenamed("value", "line")

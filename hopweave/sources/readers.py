@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,20 @@ FINANCE = GraphSchema(
 COMMUNITY_SIZES = (2048, 2048, 2048, 20480, 20480, 20480, 204800, 204800, 204800, 2048000, 2048000, 2048000)
 
 
+_BAD = "_row"
+
+
 def csv(spark: SparkSession, path: str | list[str], sep: str, columns: list[str] | None = None, header: bool = True) -> DataFrame:
-    """All columns as strings. ``columns`` names them by position, for headers that
-    repeat a name; rows may be shorter or longer than that."""
+    """All columns as strings. ``columns`` names the first of them by position, for headers that
+    repeat a name; rows may be longer than that. A row with fewer fields raises when it is read."""
     if columns is None:
-        return spark.read.csv(path, sep=sep, header=header)
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, sep=sep, header=header, schema=schema, enforceSchema=True, mode="PERMISSIVE")
+        columns = spark.read.text(path).first()[0].split(sep) if header else [f"_c{i}" for i in range(len(spark.read.csv(path, sep=sep).columns))]
+    schema = ", ".join(f"`{c}` string" for c in [*columns, _BAD])
+    rows = spark.read.csv(path, sep=sep, header=header, schema=schema, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD)
+    # rows of another width are told by the reader; those that are longer have all that is asked for
+    short = F.size(F.split(F.col(_BAD), F.lit(re.escape(sep)))) < len(columns)
+    checked = F.when(short, F.raise_error(F.concat(F.lit(f"a row with fewer than {len(columns)} fields: "), F.col(_BAD))).cast("string")).otherwise(F.col(f"`{columns[0]}`"))
+    return rows.select(checked.alias(columns[0]), *[F.col(f"`{c}`") for c in columns[1:]])
 
 
 def _long(df: DataFrame, **names: str) -> DataFrame:

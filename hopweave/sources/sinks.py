@@ -27,8 +27,10 @@ def label_graph(graph: PropertyGraph, path: str) -> None:
 
 
 def json_results(df: DataFrame, path: str) -> None:
-    """Lines of JSON arrays below ``results``, the schema beside them."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/results")
+    """One JSON array of a row's values a line below ``results``, nulls included, and one schema beside them."""
+    texts = [F.to_json(F.struct(F.col(f"`{c}`").alias("x")), {"ignoreNullFields": "false"}) for c in df.columns]
+    values = [F.substring(t, F.lit(6), F.length(t) - 6) for t in texts]  # without {"x": and }
+    df.select(F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]")).alias("value")).write.mode("overwrite").text(f"{path}/results")
     df.sparkSession.range(1).select(F.lit(df.schema.json()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from hopweave import PropertyGraph
@@ -86,7 +88,23 @@ def test_sinks(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "label/edges")).collect())[0] == "0 1"
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "label/vertices")).collect())[0] == "0 0"
     sinks.json_results(g.vertices("Person").select("id"), str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json/results")).count() == 3
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "json/results")).collect()) == ["[0]", "[1]", "[2]"]
+
+
+def test_json_rows_are_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quote"', None, [1, 2]), (None, "b", 0.5, None)], "id long, `odd name` string, x double, y array<int>")
+    sinks.json_results(df, str(tmp_path))
+    rows = sorted((json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/results").collect()), key=str)
+    assert rows == [[1, 'a "quote"', None, [1, 2]], [None, "b", 0.5, None]]
+    assert [f["name"] for f in json.loads(spark.read.text(f"{tmp_path}/schema").first()[0])["fields"]] == df.columns
+
+
+def test_rows_of_another_width(spark, tmp_path):
+    d = put(tmp_path, short="a|b|c\n1|2|3\n4|5\n", long="a|b\n1|2|3\n4|5\n")
+    with pytest.raises(Exception, match="fewer than 3 fields"):
+        readers.csv(spark, f"{d}/short.csv", "|").collect()
+    assert sorted(map(tuple, readers.csv(spark, f"{d}/long.csv", "|").collect())) == [("1", "2"), ("4", "5")]
+    assert sorted(map(tuple, readers.csv(spark, f"{d}/short.csv", "|", ["x", "y"]).collect())) == [("1", "2"), ("4", "5")]
 
 
 def test_unknown_label(spark, tmp_path):
