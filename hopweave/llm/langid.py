@@ -130,6 +130,11 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` string and ``score`` double (0 to 1).
 
+    The prediction is the language of the largest posterior. The score is no posterior:
+    it is the predicted language's share by the mean likelihood of an n-gram, without
+    the prior, so that long texts do not all get 1; on very short texts another
+    language's share may be larger.
+
     A null, empty or letterless text gives ``und`` with score 0, as every text
     does when nothing was learned. Whole texts are read, of any length.
     Existing columns of these two names are replaced; all rows stay.

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopweave.llm import chat, decontaminate, jaccard, langid, pieces, sharding, suffix, tokenfile, topk, toxicity
 from hopweave.llm.common import table
 
-#: Where the public tokenizers lie; a parameter of the queries.
-TOKENIZERS = os.environ.get("HOPWEAVE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
+def _tokenizer(name: str) -> str:
+    """A public vocabulary file; the folder is a parameter, HOPWEAVE_TOKENIZERS."""
+    folder = os.environ.get("HOPWEAVE_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+BYTE_BPE, PIECES = _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model")
 N_SHARDS, N_SLOTS = 16, 1609
 
 
