@@ -373,6 +373,17 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.raw.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
+def same_bytes(vocab: Vocabulary, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two encodings stand for the same bytes; only what lies between their common ends is decoded."""
+    m = min(len(a), len(b))
+    differ = a[:m] != b[:m]
+    lo = int(differ.argmax()) if differ.any() else m
+    differ = a[len(a) - m + lo :][::-1] != b[len(b) - m + lo :][::-1]
+    hi = int(differ.argmax()) if differ.any() else m - lo
+    of = lambda x: b"".join(map(vocab.raw.__getitem__, x[lo : len(x) - hi].tolist()))
+    return of(a) == of(b)
+
+
 def _lists(packed: list[bytes]) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -425,8 +436,7 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
                 crc.append(crcs[0])
                 more.append(sizes[1:])
                 sums.append(crcs[1:])
-                text = t.as_py() or ""
-                same.append(all(decode(v, x) == text for x in all_))
+                same.append(decode(v, all_[0]) == (t.as_py() or "") and all(same_bytes(v, all_[0], x) for x in all_[1:]))
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(3), batch.column(4), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(more, many), pa.array(sums, many)], ["doc_id", "n_pieces", "best_score", "n_best", "ids_crc32", "round_trip", "other_pieces", "other_crc32"])
 

@@ -95,3 +95,16 @@ def test_clashing_names_and_letter_case(spark):
     df = spark.createDataFrame([(1, "some text", "x", "y")], "doc_id long, text string, IDS string, N_Best string")
     out = pieces.encode(df, PIECES, 2)
     assert out.columns == ["doc_id", "text", "ids", "best_score", "n_best", "alternatives"] and len(out.first().ids)
+
+
+def test_same_bytes_is_equal_decoding(solver):
+    v, rng = solver.v, np.random.default_rng(2)
+    raw = lambda x: b"".join(v.raw[i] for i in x)
+    some = [v.ids[p] for p in ("a", "t", "h", "e", "th", "the", "he", "at", "▁", "▁a")]
+    lists = [np.array(rng.choice(some, rng.integers(0, 6))) for _ in range(300)] + [np.array(v.bytes_id and [v.bytes_id[97]])]
+    equal = 0
+    for a in lists:
+        for b in lists:
+            assert pieces.same_bytes(v, a, b) == (raw(a) == raw(b))
+            equal += raw(a) == raw(b) and a.tolist() != b.tolist()
+    assert equal
