@@ -15,12 +15,11 @@ any store that Spark can write works; a row also carries its document ids.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ BLOCK_IDS = 1 << 18
 #: Entries of the memo of encoded chunks, some 250 MB a worker; emptied when full, it never changes a result.
 MEMO = 1_200_000
 #: Bytes of text that are encoded together.
-PASS = 1 << 19
+PASS = 1 << 22
 
 
 def bits_for(vocab: int) -> int:
@@ -99,17 +98,52 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _table(*values: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+SPACES = _table(*range(9, 14), *range(28, 33))
+GAPS = _table(10, 32)
+WORD = _table(*range(48, 58), *range(65, 91), *range(97, 123))
+STOPS = _table(*(b for b in range(33, 127) if not chr(b).isalnum()))
+#: Lead bytes of the white space that UTF-8 writes in two or three bytes.
+WIDE = _table(0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """The bytes of UTF-8 text that belong to white space; a few characters of
+    the blocks where wide white space stands count as such too."""
+    out = SPACES[data]
+    lead = np.flatnonzero(WIDE[data])
+    if len(lead):
+        second = data[np.minimum(lead + 1, len(data) - 1)]
+        kind = data[lead]
+        two = lead[(kind == 0xC2) & ((second == 0x85) | (second == 0xA0))]
+        three = lead[((kind == 0xE1) & (second == 0x9A)) | ((kind == 0xE2) & (second <= 0x81)) | ((kind == 0xE3) & (second == 0x80))]
+        for at in (two, two + 1, three, three + 1, three + 2):
+            out[at] = True
+    return out
+
+
+def _slices(rows: pa.LargeBinaryArray, at: np.ndarray | None = None) -> list[bytes]:
+    """The rows' bytes, or those from row at[i] up to row at[i + 1]."""
+    ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    ends = (ends if at is None else ends[at]).tolist()
+    raw = rows.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in pairwise(ends)]
+
+
 class Encoder:
     """Encodes with the tokenizers library.
 
     Byte-level BPE never merges across a single space or line feed that stands
-    between two characters that are no white space, so a text is cut there, each
-    distinct chunk is encoded once, and the pieces are joined. A text with other
-    white space is cut at such single spaces only.
+    between two characters that are no white space, nor from an ASCII letter or
+    digit into a punctuation mark. Texts are cut there (a gap belongs to the
+    chunk behind it), each distinct chunk is encoded once, and the ids are joined.
     """
 
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-
     def __init__(self, path: str):
         import os
 
@@ -118,76 +152,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.feed = self._each(["\n"])[0]
         self.raw: list[bytes] = []
         self.clear()
 
     def clear(self) -> None:
-        #: of chunks at the start of a text or line, and of those behind a space
-        self.heads: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
-
-    def _each(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Plain words go to the library many at a time, told apart by the word
-        numbers it gives; a stop or comma behind a word is always a chunk of its own."""
-        memo = self.memo
-        tailed = {c for c in missing if c[-1:] in (".", ",") and c[:-1].isalpha()}
-        words = [c for c in missing if c.isalpha()] + [w for w in {c[:-1] for c in tailed} if w not in memo and w not in missing]
-        odd = [c for c in missing if c not in tailed and not c.isalpha()]
-        odd += self._joined(words, " ", memo)
-        for lo in range(0, len(odd), 1024):
-            part = odd[lo : lo + 1024]
-            memo.update(zip(part, self._each([" " + c for c in part]), strict=True))
-        if tailed:
-            ends = dict(zip(".,", self._each([".", ","]), strict=True))
-            memo.update({c: memo[c[:-1]] + ends[c[-1]] for c in tailed})
-
-    def _joined(self, words: list[str], gap: str, memo: dict[str, bytes]) -> list[str]:
-        """Encode words behind a space or at the start of a line, thousands in one
-        call; returns those that the library cut otherwise than expected."""
-        failed: list[str] = []
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
-            enc = self.tokenizer.encode(gap + gap.join(part), add_special_tokens=False)
-            ids, at = np.array(enc.ids, "<u4"), np.array(enc.word_ids, np.int64)
-            if gap == "\n":  # line feeds are words of their own: the odd ones remain
-                keep = at % 2 == 1
-                ids, at = ids[keep], at[keep] // 2
-            cut = np.searchsorted(at, np.arange(len(part) + 1))
-            if at[-1] != len(part) - 1 or (np.diff(at) < 0).any() or (np.diff(cut) < 1).any():
-                failed += part
+        #: the number of a chunk; its ids are ids[at[number]:at[number + 1]]
+        self.memo: dict[bytes, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.at = np.zeros(1, np.int64)
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Plain words behind a gap go to the library thousands in one call, told
+        apart by the word numbers it gives: one word behind a space, two (the line
+        feed is one) behind a line feed. All others are encoded one by one."""
+        plain: list[str] = []
+        odd: list[str] = []
+        for c in missing:
+            t = c.decode()
+            (plain if t[0] in " \n" and (t[1:].isalpha() or t[1:].isdecimal()) else odd).append(t)
+        order: list[str] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            words = np.cumsum([1 + (t[0] == "\n") for t in part])
+            enc = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            at = np.array(enc.word_ids, np.int64)
+            if at[-1] != words[-1] - 1 or (np.diff(at) < 0).any():  # the library cuts some word
+                odd += part
                 continue
-            raw, cut = ids.tobytes(), (4 * cut).tolist()
-            memo.update(zip(part, [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], strict=True))
-        return failed
-
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+            order += part
+            ids.append(np.array(enc.ids, "<u4"))
+            sizes.append(np.diff(np.searchsorted(at, words), prepend=0))
+        for lo in range(0, len(odd), 1024):
+            got = [e.ids for e in self.tokenizer.encode_batch(odd[lo : lo + 1024], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), "<u4"))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        order += odd
+        self.memo.update(zip(map(str.encode, order), range(len(self.memo), len(self.memo) + len(order)), strict=True))
+        self.ids = np.concatenate((self.ids, *ids))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
+
+    def encode_many(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of whole texts as little-endian u32 bytes; null and empty give none."""
-        if len(self.memo) + len(self.heads) > MEMO:
+        if len(self.memo) > MEMO:
             self.clear()
-        split: list[list[list[str]]] = []
-        for t in texts:
-            if not t:
-                split.append([])
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            # as many words as chunks, none empty: no white space but single spaces and line feeds
-            if len(t.split()) == sum(map(len, lines)) and not any("" in p for p in lines):
-                split.append(lines)
-            else:
-                split.append([self.CUT.split(t)])
-        heads = {p[0] for lines in split for p in lines}.difference(self.heads)
-        if heads:
-            new = self._joined([h for h in heads if h.isalpha()], "\n", self.heads) + [h for h in heads if not h.isalpha()]
-            self.heads.update(zip(new, self._each(new), strict=True))
-        missing = set(chain.from_iterable(islice(p, 1, None) for lines in split for p in lines)).difference(self.memo)
-        if missing:
+        raw = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        if ends[-1] == ends[0]:
+            return [b""] * len(raw)
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        gap, space = GAPS[data], white(data)
+        gap[:1] = gap[-1:] = False
+        gap[1:-1] &= ~space[:-2] & ~space[2:]
+        # a gap at the border of two texts is no cut
+        inner = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]
+        gap[inner - 1] = False
+        gap[1:] |= STOPS[data[1:]] & WORD[data[:-1]]
+        gap[inner] = gap[0] = True
+        cut = np.append(np.flatnonzero(gap), len(data))
+        found = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
+        chunk = _slices(found.dictionary)
+        place = np.fromiter(map(self.memo.get, chunk, repeat(-1)), np.int64, len(chunk))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            missing = [chunk[i] for i in new.tolist()]
             self._learn(missing)
-        get, head = self.memo.__getitem__, self.heads
-        return [self.feed.join([head[p[0]] + b"".join(map(get, islice(p, 1, None))) for p in lines]) for lines in split]
+            place[new] = np.fromiter(map(self.memo.__getitem__, missing), np.int64, len(missing))
+        known = pa.Array.from_buffers(pa.large_binary(), len(self.memo), [None, pa.py_buffer(4 * self.at), pa.py_buffer(self.ids)])
+        got = known.take(pa.array(place[found.indices.to_numpy()]))
+        return _slices(got, np.searchsorted(cut, ends))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
@@ -209,7 +244,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[list[str | None]], list[bytes]]], vocab: int, end_id: int) -> None:
+def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[pa.Array], list[bytes]]], vocab: int, end_id: int) -> None:
     """Encode every whole text, add ``end_id`` and write the token file to ``out``.
 
     Rows go to ascending ranges of (doc_id, hash of the text), nulls first, so
@@ -241,7 +276,7 @@ def write_tokens(docs: DataFrame, out: str, encode: Callable[[], Callable[[list[
                 part = batch.column(2)[0].as_py()
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for lo, hi in chunks(sizes, PASS):
-                got = enc(batch.column(1).slice(lo, hi - lo).to_pylist())
+                got = enc(batch.column(1).slice(lo, hi - lo))
                 for d, ids in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), got, strict=True):
                     held.append(ids + end)
                     who.append(d)

@@ -3,6 +3,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,15 @@ def test_encoder_equals_library(text):
     assert got == direct([text])[0]
 
 
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="ab9é×½ \n.'\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b“、中", max_size=12), max_size=8))
+def test_encoder_cuts_no_word(texts):
+    """Wide white space, borders of texts, nulls, and a slice of a longer array."""
+    column = pa.array(["x y", *texts, "z"], pa.string()).slice(1, len(texts))
+    got = tokenfile.encoder(BYTE_BPE).encode_many(column)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == direct([t or "" for t in texts])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), max_size=70))
 def test_pack_round_trip(bits, ids):
