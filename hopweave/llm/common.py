@@ -10,8 +10,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +200,32 @@ def joined(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(b"".join([t + gap for t in texts]), np.uint8), np.concatenate(([0], np.cumsum(lens)))
 
 
+def slices(rows: pa.LargeBinaryArray, at: np.ndarray | None = None) -> list[bytes]:
+    """The rows' bytes, or those from row at[i] up to row at[i + 1]."""
+    ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    raw = rows.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in pairwise((ends if at is None else ends[at]).tolist())]
+
+
+def distinct_chunks(data: np.ndarray, cut: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct among data[cut[i]:cut[i + 1]], and the number of each among them."""
+    found = binaries(data, cut).dictionary_encode()
+    return slices(found.dictionary), found.indices.to_numpy()
+
+
+def binaries(data: np.ndarray, cut: np.ndarray) -> pa.LargeBinaryArray:
+    """data[cut[i]:cut[i + 1]] as an Arrow array over the same memory; ``cut`` counts bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none) and where each ends, from 0 on."""
+    raw = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
 def chunks(sizes: list[int], limit: int):
     """Index ranges whose sizes sum to about ``limit``; a larger item stands alone."""
     lo, total = 0, 0

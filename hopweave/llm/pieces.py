@@ -20,16 +20,17 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopweave.llm.common import chunks, prefix_hash, span_hash
+from hopweave.llm.common import binaries, chunks, distinct_chunks, prefix_hash, span_hash, text_bytes
 
 MARK = "▁"
 #: Stands for a space mark that is in the text itself, which is stored as its bytes; a
@@ -39,8 +40,8 @@ UNKNOWN_PENALTY = 10.0
 #: Segments longer than this are solved one at a time, in memory linear in their length; by
 #: the same rules, so it changes no result.
 WIDE = 48
-#: Characters a kernel pass takes, and segments the memo holds; neither changes a result.
-PASS, MEMO = 1 << 20, 250_000
+#: Bytes a kernel pass takes, and segments the memo holds; neither changes a result.
+PASS, MEMO = 1 << 21, 500_000
 
 
 class Vocabulary:
@@ -72,6 +73,11 @@ class Vocabulary:
         self.unknown = min(usual) - UNKNOWN_PENALTY
         self.longest = max(map(len, names))
         self.pairs = {p[i : i + 2] for p in names for i in range(len(p) - 1)}
+        #: bytes (any of a longer character counts as such) that a stop or comma may share a piece with
+        self.joins = {}
+        for stop in ".,":
+            before = {q[0] for q in self.pairs if q[1] == stop}
+            self.joins[ord(stop)] = np.array([chr(b) in before if b < 128 else any(ord(c) > 127 for c in before) for b in range(256)])
         #: cuts before each space mark are exact if no piece has one behind another character
         self.by_space = not any(q[1] == MARK != q[0] for q in self.pairs)
         hashes = np.array([self._hash(p) for p in names], np.uint64)
@@ -147,6 +153,24 @@ def a_star(vocab: Vocabulary, parts: list[str], n: int) -> list[tuple[float, lis
     return out
 
 
+def marked(segment: bytes) -> str:
+    """A segment's characters as pieces have them."""
+    return segment.decode().replace(MARK, LITERAL).replace(" ", MARK)
+
+
+def unmarked(segment: str) -> bytes:
+    return segment.replace(MARK, " ").replace(LITERAL, MARK).encode()
+
+
+class Numbers(dict):
+    """Segments' numbers by their bytes in the text, found by their marked characters too."""
+
+    def __missing__(self, segment: bytes | str) -> int:
+        if isinstance(segment, str):
+            return self[unmarked(segment)]
+        raise KeyError(segment)
+
+
 class Solver:
     """Memo of distinct segments: ids of the best segmentation, its score, and what the second best costs more."""
 
@@ -155,32 +179,34 @@ class Solver:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.score: list[np.ndarray] = []
-        self.gap: list[np.ndarray] = []
-
-    def segments(self, text: str) -> list[str]:
-        """Cut where no piece can cross."""
-        if MARK in text:
-            text = text.replace(MARK, LITERAL)
-        pairs = self.v.pairs
-        if not self.v.by_space:
-            return [MARK + text.replace(" ", MARK)]
-        out, held = [], ""
-        for w in text.split(" "):
-            held += MARK
-            if not w:
-                continue
-            if w[-1] in ".," and len(w) > 1 and w[-2:] not in pairs:
-                out.append(held + w[:-1])
-                out.append(w[-1])
-            else:
-                out.append(held + w)
-            held = ""
-        if held:
-            out.append(held)
-        return out
+        self.at = Numbers()
+        #: ids of segment k: flat[ends[k]:ends[k + 1]]
+        self.flat = np.zeros(0, "<u4")
+        self.ends = np.zeros(1, np.int64)
+        self.score = [np.zeros(0)]
+        self.gap = [np.zeros(0)]
+        self.new: list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    @property
+    def ids(self) -> pa.LargeBinaryArray:
+        """Each segment's ids as little-endian u32 bytes."""
+        return binaries(self.flat, 4 * self.ends)
+
+    def cuts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where no piece can cross, in texts that all begin with the space that stands for the start."""
+        first = ends[:-1][np.diff(ends) > 0]
+        cut = np.zeros(len(data), bool)
+        if self.v.by_space:
+            space = data == 32
+            cut[1:] = space[1:] & ~space[:-1]
+            last = np.append(space[1:], True)
+            last[first[1:] - 1] = True
+            for stop, joins in self.v.joins.items():
+                at = np.flatnonzero(last & (data == stop))
+                at = at[at > 0]
+                cut[at[~space[at - 1] & ~joins[data[at - 1]]]] = True
+        cut[first] = True
+        return np.append(np.flatnonzero(cut), len(data))
 
     def _one(self, text: str) -> tuple[bytes, float, float]:
         got = self._linear(text)
@@ -219,13 +245,19 @@ class Solver:
                 self._many(part[a : a + step])
         for m in missing:
             if len(m) > WIDE:
-                self._put(m, *self._one(m))
-
-    def _put(self, m: str, ids: bytes, score: float, gap: float) -> None:
-        self.at[m] = len(self.ids)
-        self.ids.append(ids)
-        self.score.append(np.array([score]))
-        self.gap.append(np.array([gap]))
+                ids, score, gap = self._one(m)
+                self._put([m], np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]), np.array([score]), np.array([gap]))
+        words, ids, sizes, score, gap = zip(*self.new, strict=True)
+        self.new.clear()
+        names = [unmarked(w) for part in words for w in part]
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+        self.flat = np.concatenate((self.flat, *ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))))
+        self.score, self.gap = [np.concatenate((*self.score, *score))], [np.concatenate((*self.gap, *gap))]
+
+    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray, score: np.ndarray, gap: np.ndarray) -> None:
+        """Solved segments, their ids one behind the other."""
+        self.new.append((words, ids, sizes, score, gap))
 
     def _many(self, words: list[str]) -> None:
         """Forward and backward Viterbi over many short segments at once."""
@@ -286,49 +318,52 @@ class Solver:
         final = alpha[lens, rows]
         path = np.stack([s[0] for s in reversed(steps)], 1)
         place = np.stack([s[1] for s in reversed(steps)], 1)
-        odd = (path == -1).any(1).tolist()
-        skip = (path == -2).sum(1).tolist()
-        flat, width = path.astype("<u4").tobytes(), 4 * path.shape[1]
-        base = len(self.ids)
-        for i, w in enumerate(words):
-            if odd[i]:
-                out: list[int] = []
-                for p, a in zip(path[i, skip[i] :].tolist(), place[i, skip[i] :].tolist(), strict=True):
-                    out += [p] if p >= 0 else self.v.edge_ids(w[a])
-                self.ids.append(np.array(out, "<u4").tobytes())
-            else:
-                self.ids.append(flat[i * width + 4 * skip[i] : (i + 1) * width])
-        self.at.update(zip(words, range(base, base + n), strict=True))
-        self.score.append(final)
-        self.gap.append(final - second)
+        odd = (path == -1).any(1)
+        plain = np.flatnonzero(~odd)
+        clean = path[plain]
+        self._put([words[i] for i in plain.tolist()], clean[clean >= 0].astype("<u4"), (clean >= 0).sum(1), final[plain], (final - second)[plain])
+        for i in np.flatnonzero(odd).tolist():
+            out: list[int] = []
+            for p, a in zip(path[i].tolist(), place[i].tolist(), strict=True):
+                out += [p] if p >= 0 else self.v.edge_ids(words[i][a]) if p == -1 else []
+            self._put([words[i]], np.array(out, "<u4"), np.array([len(out)]), final[i : i + 1], (final - second)[i : i + 1])
 
     def solve(self, texts: list[str], n: int) -> list[tuple[bytes, list[float]]]:
         """(ids of the best, the n best scores) of each whole text."""
         return [(ids[0] if ids else b"", scores) for ids, scores in self.solve_all(texts, n)]
 
-    def solve_all(self, texts: list[str], n: int) -> list[tuple[list[bytes], list[float]]]:
-        """(ids of the n best, their scores) of each whole text."""
-        parts = [self.segments(t) if t else [] for t in texts]
+    def solve_all(self, texts: list[str] | pa.Array, n: int) -> list[tuple[list[bytes], list[float]]]:
+        """(ids of the n best, their scores) of each whole text; empty lists for null and empty ones."""
+        rows = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        rows = pc.if_else(pc.equal(pc.binary_length(rows), 0), None, rows)
+        data, ends = text_bytes(pc.binary_join_element_wise(" ", rows, ""))
+        if not len(data):
+            return [([], []) for _ in range(len(rows))]
         if len(self.at) > MEMO:
             self.clear()
-        self.learn(list({s for p in parts for s in p if s not in self.at}))
-        out = []
-        if self.score:
-            self.score, self.gap = [np.concatenate(self.score)], [np.concatenate(self.gap)]
-            score, gap = self.score[0], self.gap[0]
-        for p in parts:
-            if not p:
+        cut = self.cuts(data, ends)
+        chunk, number = distinct_chunks(data, cut)
+        missing = [c for c in chunk if c not in self.at]
+        if missing:
+            self.learn([marked(c) for c in missing])
+        at = np.fromiter(map(self.at.__getitem__, chunk), np.int64, len(chunk))[number]
+        found = self.ids.take(pa.array(at))
+        to, raw = np.frombuffer(found.buffers()[1], np.int64), found.buffers()[2].to_pybytes()
+        score, gap = self.score[0][at], self.gap[0][at]
+        out: list[tuple[list[bytes], list[float]]] = []
+        for lo, hi in pairwise(np.searchsorted(cut, ends).tolist()):
+            if lo == hi:
                 out.append(([], []))
                 continue
-            at = np.fromiter(map(self.at.__getitem__, p), np.int64, len(p))
-            best = float(score[at].sum())
-            out.append(self.n_best(p, list(map(self.ids.__getitem__, at.tolist())), gap[at], best, n))
+            part = lambda i: marked(chunk[number[lo + i]])  # noqa: B023, E731
+            out.append(self.n_best(part, raw, to[lo : hi + 1], gap[lo:hi], float(score[lo:hi].sum()), n))
         return out
 
-    def n_best(self, parts: list[str], ids: list[bytes], gaps: np.ndarray, best: float, n: int) -> tuple[list[bytes], list[float]]:
-        """Ids and scores of the n best whole segmentations; ``ids``: of each part's best."""
+    def n_best(self, part: Callable[[int], str], raw: bytes, to: np.ndarray, gaps: np.ndarray, best: float, n: int) -> tuple[list[bytes], list[float]]:
+        """Ids and scores of the n best whole segmentations; the best of part i is raw[to[i]:to[i + 1]]."""
+        whole = raw[to[0] : to[-1]]
         if n < 2:
-            return [b"".join(ids)], [best][:n]
+            return [whole], [best][:n]
         if len(gaps) > n - 1:
             # of equal gaps the first
             near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
@@ -337,15 +372,15 @@ class Solver:
             near = np.arange(len(gaps))
         near = [i for i in np.sort(near).tolist() if np.isfinite(gaps[i])]
         if not near:
-            return [b"".join(ids)], [best]
-        chosen = [parts[i] for i in near]
+            return [whole], [best]
+        chosen = [part(i) for i in near]
         found = a_star(self.v, chosen, n)
-        own = [ids[i] for i in near]
+        own = [raw[to[i] : to[i + 1]] for i in near]
         # of equal scores A* may put another first, or even have n others; the best stays the best
         others = [x for x in (self._by_part(chosen, places) for _, places in found) if x != own][: len(found) - 1]
-        fixed = [b"".join(ids[a + 1 : b]) for a, b in zip([-1, *near], [*near, len(ids)], strict=True)]
-        whole = [fixed[0] + b"".join([x + f for x, f in zip(xs, fixed[1:], strict=True)]) for xs in [own, *others]]
-        return whole, [best + (s - found[0][0]) for s, _ in found]
+        fixed = [raw[to[a + 1] : to[b]] for a, b in zip([-1, *near], [*near, len(gaps)], strict=True)]
+        rest = [fixed[0] + b"".join([x + f for x, f in zip(xs, fixed[1:], strict=True)]) for xs in others]
+        return [whole, *rest], [best + (s - found[0][0]) for s, _ in found]
 
     def _by_part(self, parts: list[str], places: list[int]) -> list[bytes]:
         """Ids of each part under a segmentation of the joined parts."""
@@ -406,10 +441,10 @@ def encode(docs: DataFrame, model: str, n: int = 4, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = solver(model)
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             for lo, hi in chunks(sizes, PASS):
                 part = batch.slice(lo, hi - lo)
-                got = s.solve_all([t or "" for t in part.column(at).to_pylist()], n)
+                got = s.solve_all(part.column(at), n)
                 ids = _lists([g[0][0] if g[0] else b"" for g in got])
                 ends = np.concatenate(([0], np.cumsum([len(g[0][1:]) for g in got]))).astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(ends), _lists([x for g in got for x in g[0][1:]]))

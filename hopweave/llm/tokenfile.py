@@ -19,7 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise, repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopweave.llm.common import chunks, shared_dir
+from hopweave.llm.common import binaries, chunks, distinct_chunks, shared_dir, slices, text_bytes
 
 HEAD = struct.Struct("<4sBBHIQQ")
 MAGIC, VERSION = b"HWTK", 1
@@ -127,14 +127,6 @@ def white(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(rows: pa.LargeBinaryArray, at: np.ndarray | None = None) -> list[bytes]:
-    """The rows' bytes, or those from row at[i] up to row at[i + 1]."""
-    ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
-    ends = (ends if at is None else ends[at]).tolist()
-    raw = rows.buffers()[2].to_pybytes()
-    return [raw[a:b] for a, b in pairwise(ends)]
-
-
 class Encoder:
     """Encodes with the tokenizers library.
 
@@ -197,12 +189,9 @@ class Encoder:
         """The ids of whole texts as little-endian u32 bytes; null and empty give none."""
         if len(self.memo) > MEMO:
             self.clear()
-        raw = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_binary())
-        ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
-        if ends[-1] == ends[0]:
-            return [b""] * len(raw)
-        data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
+        data, ends = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if not len(data):
+            return [b""] * (len(ends) - 1)
         gap, space = GAPS[data], white(data)
         gap[:1] = gap[-1:] = False
         gap[1:-1] &= ~space[:-2] & ~space[2:]
@@ -212,17 +201,15 @@ class Encoder:
         gap[1:] |= STOPS[data[1:]] & WORD[data[:-1]]
         gap[inner] = gap[0] = True
         cut = np.append(np.flatnonzero(gap), len(data))
-        found = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
-        chunk = _slices(found.dictionary)
+        chunk, number = distinct_chunks(data, cut)
         place = np.fromiter(map(self.memo.get, chunk, repeat(-1)), np.int64, len(chunk))
         new = np.flatnonzero(place < 0)
         if len(new):
             missing = [chunk[i] for i in new.tolist()]
             self._learn(missing)
             place[new] = np.fromiter(map(self.memo.__getitem__, missing), np.int64, len(missing))
-        known = pa.Array.from_buffers(pa.large_binary(), len(self.memo), [None, pa.py_buffer(4 * self.at), pa.py_buffer(self.ids)])
-        got = known.take(pa.array(place[found.indices.to_numpy()]))
-        return _slices(got, np.searchsorted(cut, ends))
+        got = binaries(self.ids, 4 * self.at).take(pa.array(place[number]))
+        return slices(got, np.searchsorted(cut, ends))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
