@@ -335,12 +335,15 @@ class Solver:
     def solve_all(self, texts: list[str] | pa.Array, n: int) -> list[tuple[list[bytes], list[float]]]:
         """(ids of the n best, their scores) of each whole text; empty lists for null and empty ones."""
         rows = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        rows = pc.if_else(pc.equal(pc.binary_length(rows), 0), None, rows)
-        data, ends = text_bytes(pc.binary_join_element_wise(" ", rows, ""))
+        data, ends = text_bytes(rows)
         if not len(data):
             return [([], []) for _ in range(len(rows))]
         if len(self.at) > MEMO:
             self.clear()
+        # a space before each text that is not empty stands for its start
+        some = np.diff(ends) > 0
+        data = np.insert(data, ends[:-1][some], 32)
+        ends = ends + np.concatenate(([0], np.cumsum(some)))
         cut = self.cuts(data, ends)
         chunk, number = distinct_chunks(data, cut)
         missing = [c for c in chunk if c not in self.at]

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,3 +109,13 @@ def test_same_bytes_is_equal_decoding(solver):
             assert pieces.same_bytes(v, a, b) == (raw(a) == raw(b))
             equal += raw(a) == raw(b) and a.tolist() != b.tolist()
     assert equal
+
+
+def test_a_slice_of_a_column_is_solved_text_by_text(solver):
+    texts = ["one, two", None, "", " ß  and a, b.", "▁ x.", "中." * 900, "end ", " "] * 40
+    column = pa.array(["before", *texts, "behind"], pa.string()).slice(1, len(texts))
+    for lo, hi in ((0, 320), (3, 90), (7, 9), (1, 3), (5, 5)):
+        got = solver.solve_all(column.slice(lo, hi - lo), 3)
+        assert got == [solver.solve_all([t], 3)[0] for t in texts[lo:hi]]
+        for t, (found, _) in zip(texts[lo:hi], got, strict=True):
+            assert all(pieces.decode(solver.v, np.frombuffer(x, "<u4")) == t for x in found) and bool(found) == bool(t)
