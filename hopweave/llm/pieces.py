@@ -41,7 +41,7 @@ UNKNOWN_PENALTY = 10.0
 #: the same rules, so it changes no result.
 WIDE = 48
 #: Bytes a kernel pass takes, and segments the memo holds; neither changes a result.
-PASS, MEMO = 1 << 21, 500_000
+PASS, MEMO = 1 << 19, 250_000
 
 
 class Vocabulary:
