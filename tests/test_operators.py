@@ -193,3 +193,21 @@ def test_find_shortest_equals_breadth_first(spark):
 def test_an_aggregate_of_the_users_own(spark):
     df = spark.createDataFrame([(1, 5), (1, 9), (2, 4)], "k long, x long")
     assert sorted(map(tuple, aggregate.group_by(df, "k", "x", lambda c: F.max(c) - F.min(c), "spread").collect())) == [(1, 4), (2, 0)]
+
+
+@pytest.mark.parametrize("cast", ["long", "string"])
+def test_complement_lists_its_product_last(spark, monkeypatch, cast):
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(12), rng.randrange(50)) for _ in range(200)] + [(2, i) for i in range(50)] + [(None, 3), (3, None)]
+    rows, columns = [*range(1, 10), 3, None], [*range(5, 45), 5, None]
+    typed = lambda d: d.select(*[F.col(c).cast(cast) for c in d.columns])
+    frame = lambda x, name: typed(spark.createDataFrame([(i,) for i in x], f"{name} long"))
+    got = joins.complement(typed(spark.createDataFrame(pairs, "a long, b long")), frame(rows, "s"), frame(columns, "t"))
+    known = {p for p in pairs if None not in p}
+    want = {(s, t) for s in rows for t in columns} - known
+    out = [tuple(None if x is None else int(x) for x in r) for r in got.collect()]
+    assert got.columns == ["s", "t"] and len(out) == len(want) and set(out) == want
+    # nothing is shuffled after the pairs are listed
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
