@@ -16,10 +16,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopweave.graph import dense_ids
 from hopweave.storage import counted, stored
 
 #: Starts from which "auto" takes the bit-packed form, for at least so many steps.
 BITS_FROM, BITS_STEPS = 1024, 2
+#: Packed words that a task of ``bit_counts`` is expected to merge.
+TASK_WORDS = 1 << 21
 #: Cap on the hops of ``find_shortest``.
 MAX_HOPS = 50
 
@@ -68,7 +71,8 @@ def reached(starts: DataFrame, start: str, steps: DataFrame | list[DataFrame], k
 
 def bit_layers(starts: DataFrame, steps: DataFrame | list[DataFrame], k_max: int, path: str = "any") -> tuple[DataFrame, list[DataFrame]]:
     """(numbered starts (s, i), layers as (v, w, bits)); bit i % 64 of word i / 64 is start i."""
-    named = stored(starts.select("s").withColumn("i", F.monotonically_increasing_id()), "starts")
+    # numbered by order, as starts near each other are often reached together and then share words
+    named = stored(dense_ids(starts.select(F.col("s").alias("id"))).select(F.col("id").alias("s"), F.col("rank").alias("i")), "starts")
     word, bit = F.shiftright("i", 6), F.expr("shiftleft(1L, cast(i & 63 as int))")
     front = named.select(F.col("s").alias("v"), word.alias("w"), bit.alias("bits"))
     out = [stored(front.groupBy("v", "w").agg(F.bit_or("bits").alias("bits")), "layer")]
@@ -155,11 +159,34 @@ def expand(
 
 
 def bit_counts(starts: DataFrame, start: str, steps: DataFrame | list[DataFrame], k_min: int, k_max: int, path: str = "any") -> DataFrame:
-    """(v, n): how many distinct starts reach each target, counted on packed words without listing the pairs."""
-    _, packed = bit_layers(starts.select(F.col(start).alias("s")).where("s is not null").distinct(), steps, k_max, path)
-    chosen = packed[k_min:] or [packed[0].where("false")]
-    one = reduce(DataFrame.union, chosen).groupBy("v", "w").agg(F.bit_or("bits").alias("bits"))
-    return one.groupBy("v").agg(F.sum(F.bit_count("bits")).alias("n"))
+    """(v, n): how many distinct starts reach each target, counted on packed words without listing the pairs.
+
+    The last layer, the largest, is never stored: each vertex sends its words as one array along its
+    edges, and one exchange by target merges and counts them."""
+    if isinstance(steps, DataFrame) and k_max > 1:
+        steps = stored(steps, "edges")
+    by_step = _steps(steps, k_max)
+    _, packed = bit_layers(starts.select(F.col(start).alias("s")).where("s is not null").distinct(), by_step[:-1], max(k_max - 1, 0), path)
+    n = F.sum(F.bit_count("bits")).alias("n")
+    if not 0 < k_max <= len(packed):
+        chosen = packed[k_min:] or [packed[0].where("false")]
+        return reduce(DataFrame.union, chosen).groupBy("v", "w").agg(F.bit_or("bits").alias("bits")).groupBy("v").agg(n)
+    # a long holds the number of half a word above its 32 bits
+    low, high = F.shiftleft("w", 33).bitwiseOR(F.expr("bits & 4294967295L")), F.shiftleft("w", 33).bitwiseOR(F.lit(1 << 32)).bitwiseOR(F.shiftrightunsigned("bits", 32))
+    halves, some = F.array(low, high).alias("halves"), "(half & 4294967295L) <> 0"
+    front = packed[-1].select("v", F.explode(halves).alias("half")).where(some).groupBy("v").agg(F.collect_list("half").alias("halves"))
+    sent = [front.join(by_step[-1], F.col("v") == F.col("src")).select(F.col("dst").alias("v"), "halves")]
+    # with "shortest", pairs of all earlier layers are no new ones; those below k_min are counted off again
+    sent += [d.select("v", halves) for d in (packed if path == "shortest" else packed[k_min:])]
+    sizes = [d.count() for d in packed[-2:]]
+    parts = max(int(packed[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sizes[-1] ** 2 // (sizes[0] or 1)) // TASK_WORDS)
+    got = reduce(DataFrame.union, sent).repartition(parts, "v").select("v", F.explode("halves").alias("half")).where(some)
+    merged = got.groupBy("v", F.shiftright("half", 32).alias("w")).agg(F.bit_or(F.expr("half & 4294967295L")).alias("bits"))
+    out = merged.groupBy("v").agg(n)
+    if path == "shortest" and k_min:
+        off = reduce(DataFrame.union, packed[:k_min]).groupBy("v").agg(F.sum(F.bit_count("bits")).alias("off"))
+        out = out.join(off, "v", "left").select("v", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n")).where("n > 0")
+    return out
 
 
 def neighbours(starts: DataFrame, start: str, target: str, step: DataFrame, distance: bool = False) -> DataFrame:

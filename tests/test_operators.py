@@ -211,3 +211,21 @@ def test_complement_lists_its_product_last(spark, monkeypatch, cast):
     # nothing is shuffled after the pairs are listed
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+@pytest.mark.parametrize("path", ["any", "shortest"])
+def test_bit_counts_never_store_the_last_layer(spark, monkeypatch, path):
+    rng = random.Random(11)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(260)]
+    starts = list(range(100))
+    e, s = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in [*starts, 4, None]], "a long")
+    kept, real = [], ex.counted
+    monkeypatch.setattr(ex, "counted", lambda df, name="step": kept.append(name) or real(df, name))
+    for k_min, k_max in ((0, 0), (0, 1), (0, 3), (2, 3), (3, 3)):
+        kept.clear()
+        got = {r.v: r.n for r in ex.bit_counts(s, "a", e, k_min, k_max, path).collect()}
+        want = {}
+        for _, y in {(x, y) for x, y, _ in walks(edges, starts, k_min, k_max, path)}:
+            want[y] = want.get(y, 0) + 1
+        assert got == want
+        assert kept.count("layer") == max(k_max - 1, 0)
