@@ -60,6 +60,13 @@ class GraphPlan:
     def vexpand_different_edges_by_step(self, start: str, target: str, by_step: list[list[Step]], k_min: int, k_max: int, path: str = "any", distance: str | None = None, strategy: str = "auto") -> GraphPlan:
         return self._with(ex.expand(self.df, start, target, [self.graph.step(s) for s in by_step], k_min, k_max, path, distance, strategy))
 
+    def vexpand_count(self, start: str, target: str, source: str, end: str, kind: str, k_min: int, k_max: int, direction: Direction, path: str = "any", alias: str = "count") -> GraphPlan:
+        """(target, count): how many distinct starts reach each target; the pairs are not listed."""
+        if k_max > 1 and source != end:
+            raise ValueError("several steps need edges that join a label with itself")
+        n = ex.bit_counts(self.df, start, self.graph.step(Step(source, kind, end, direction)), k_min, k_max, path)
+        return self._with(n.select(F.col("v").alias(target), F.col("n").alias(alias)))
+
     def find_shortest(self, start: str, target: str, label: str, kind: str, direction: Direction) -> GraphPlan:
         return self._with(ex.find_shortest(self.df.select(start, target), start, target, self.graph.step(Step(label, kind, label, direction))))
 

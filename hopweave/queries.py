@@ -20,7 +20,7 @@ from hopweave.plans.pattern import Compiled, Pattern
 from hopweave.plans.vql import query
 from hopweave.schema import Direction, Step
 from hopweave.sources import readers, sinks, testdata
-from hopweave.storage import shared_dir
+from hopweave.storage import shared_dir, stored
 
 COMMUNITY = {"a": 0, "b": 1, "c": 2, "d": 0}
 K_MAX = 2
@@ -408,9 +408,11 @@ def _(g):
 
 
 def _tcr2(g: PropertyGraph, starts: GraphPlan) -> DataFrame:
-    p = starts.vexpand("account_id", "other_id", "Account", "Account", "transfer", 1, 3, BACK).convert_to_flat()
-    p = p.projection([("other_id", "other_id")]).csr_expand_to_neighbor("other_id", "loan_id", "Account", "Loan", "deposit")
-    return p.fetch_vertex_property("Loan", "loan_id", "balance").remove_variable("loan_id").sum_group_by("other_id", "balance", "sum_balance").df
+    # an account's loans count once for each start that reaches it
+    n = stored(starts.vexpand_count("account_id", "other_id", "Account", "Account", "transfer", 1, 3, BACK, alias="n").df, "counts")
+    p = GraphPlan(g, n).csr_expand_to_neighbor("other_id", "loan_id", "Account", "Loan", "deposit")
+    p = p.fetch_vertex_property("Loan", "loan_id", "balance").remove_variable("loan_id").sum_group_by("other_id", "balance", "once")
+    return p.df.join(n, "other_id").select("other_id", (F.col("once") * F.col("n")).alias("sum_balance"))
 
 
 _TCR2 = "SELECT o.v AS other_id, sum(balance)::BIGINT AS sum_balance FROM (SELECT DISTINCT s, v FROM w WHERE k BETWEEN 1 AND 3) o JOIN (SELECT DISTINCT src, dst FROM deposit) d ON d.dst = o.v JOIN loan ON d.src = id GROUP BY 1"

@@ -123,3 +123,22 @@ def test_a_second_condition_is_an_error():
     with pytest.raises(ValueError, match="condition already"):
         parse("vmatch (a{tag:0-1})->(b), (a{id:3})->(b) return a;")
     assert parse("vmatch (a)->(b), (a{id:3})-(c) return a;").pattern.vertices["a"].conditions
+
+
+def test_tcr2_lists_no_pairs(spark, monkeypatch):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").select("o_orderkey", "o_custkey", F.floor("o_totalprice").alias("x")).orderBy("o_orderkey").collect()
+    before = {}
+    for a, b in zip(orders, orders[1:], strict=False):
+        before.setdefault(b.o_custkey, set()).add(a.o_custkey)
+    want, owned = {}, {}
+    for r in orders:
+        owned[r.o_custkey] = owned.get(r.o_custkey, 0) + r.x
+    for start in [r[0] for r in spark.read.parquet(f"{SMALL}/customer.parquet").where("c_nationkey = 0").select("c_custkey").collect()]:
+        layer, seen = {start}, set()
+        for _ in range(3):
+            layer = set().union(*(before.get(v, ()) for v in layer))
+            seen |= layer
+        for v in seen & owned.keys():
+            want[v] = want.get(v, 0) + owned[v]
+    monkeypatch.setattr("hopweave.operators.expand.expand", None)
+    assert dict(map(tuple, QUERIES["tcr2"](spark, SMALL).collect())) == want
