@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hopweave import Direction, EdgeSchema, GraphPlan, GraphSchema, Pattern, PropertyGraph, Step, VertexSchema, query
 from hopweave.graph import consecutive, dense_ids
-from hopweave.plans.pattern import Compiled
+from hopweave.plans.pattern import Compiled, union_orders
 from hopweave.plans.vql import parse
 from hopweave.queries import QUERIES
 
@@ -142,3 +142,26 @@ def test_tcr2_lists_no_pairs(spark, monkeypatch):
             want[v] = want.get(v, 0) + owned[v]
     monkeypatch.setattr("hopweave.operators.expand.expand", None)
     assert dict(map(tuple, QUERIES["tcr2"](spark, SMALL).collect())) == want
+
+
+@pytest.mark.parametrize("edges", [["ab", "bc", "cd", "ad"], ["ab", "bc", "cd", "ad", "de"], ["ab", "ac", "ad", "bc", "cd"], ["ab", "bc", "cd"], ["ab", "bc", "cd", "de", "ae"]])
+def test_counts_of_orders_list_no_matches(social, monkeypatch, edges):
+    g, k = social
+    of = {v: [i for i in range(24) if i % 4 == t] for v, t in zip("abcde", (0, 1, 2, 0, 1), strict=True)}
+    p = Pattern()
+    for v in sorted(set("".join(edges))):
+        p.create_vertex(v, "Person", F.col("community") == {"a": 0, "b": 1, "c": 2, "d": 0, "e": 1}[v])
+    for a, b in edges:
+        p.connect(a, b, "knows", 0, 1, "shortest")
+    near = k | {(i, i) for i in range(24)}
+    matches = [{}]
+    for v in sorted(p.vertices):
+        matches = [{**m, v: x} for m in matches for x in of[v] if all((m[a], x) in near for a, b in edges if b == v and a in m) and all((x, m[b]) in near for a, b in edges if a == v and b in m)]
+    monkeypatch.setattr(Compiled, "rows", None)
+    c = Compiled(g, p)
+    orders = list(p.orders())
+    assert c.count().first()[0] == len(matches)
+    if len(edges) == 4 and len(p.vertices) == 4:
+        assert sorted(map(tuple, union_orders(c).collect())) == sorted((len(matches), "".join(o)) for o in orders)
+    for o in orders[:: max(1, len(orders) // 6)]:
+        assert c.count_in(o).first()[0] == c.count(o).first()[0] == len(matches)
